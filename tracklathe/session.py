@@ -34,3 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint, so a lost executor costs no earlier rounds."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Ends a row-local computation: later filters on its columns don't repeat its expressions.
+
+    Catalyst pushes a filter below a projection by writing the projected expressions into the filter; it doesn't do so
+    through a generator.
+    """
+    from pyspark.sql import functions as F
+
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
