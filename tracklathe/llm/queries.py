@@ -136,8 +136,8 @@ hub as (select distinct regexp_replace(regexp_replace(regexp_replace(lower(trim(
   unnest([case when regexp_extract(driver, '[0-9]+') <> '' then 'd:' || cast(cast(regexp_extract(driver, '[0-9]+') as bigint) as varchar) end,
           case when trim(content_sha) <> '' then 'h:' || lower(trim(content_sha)) end]) h from sequences),
 edge as (select a.f a, b.f b from (select * from hub where h is not null) a join (select h, min(f) f from hub where h is not null group by h) b on a.h = b.h where a.f <> b.f),
-both as (select a, b from edge union select b, a from edge),
-reach as (select f a, f b from (select distinct f from fam) union select r.a, e.b from reach r join both e on r.b = e.a),
+bi as (select a, b from edge union select b, a from edge),
+reach as (select f a, f b from (select distinct f from fam) union select r.a, e.b from reach r join bi e on r.b = e.a),
 comp as (select a f, min(b) c from reach group by a)
 """
 SQL["p1_found"] = _STEMS + """, g as (select s, c from fam join comp using (f)), n as (select c, min(s) m, count(*) k from g group by c)
