@@ -57,12 +57,13 @@ class _Table:
                 break
             n_slots += 2
         self.n, self.m = n_buckets, n_slots
-        self.shift, self.keys, self.values = _literal(shift), _literal(keys, "bigint"), _literal(values)
+        #: The arrays as one literal; get() takes it by a variable, so that a plan holds it once.
+        self.literal = F.struct(_literal(shift).alias("shift"), _literal(keys, "bigint").alias("keys"), _literal(values).alias("values"))
 
-    def get(self, key: Column, low: Column, high: Column) -> Column:
-        d = self.shift[(low % self.n).cast("int")].cast("bigint")
+    def get(self, arrays: Column, key: Column, low: Column, high: Column) -> Column:
+        d = arrays["shift"][(low % self.n).cast("int")].cast("bigint")
         slot = ((high + d * (1 + high % STEP)) % self.m).cast("int")
-        return F.when(self.keys[slot] == key, self.values[slot])
+        return F.when(arrays["keys"][slot] == key, arrays["values"][slot])
 
 
 def _literal(values: list[int], kind: str = "int") -> Column:
@@ -70,6 +71,11 @@ def _literal(values: list[int], kind: str = "int") -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def _let(value: Column, body) -> Column:
+    """The body with the value as a variable, so that it is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class ByteBpe:
     """Column expressions of one vocabulary. ``path`` is a file of lines: a token in base 64, its rank."""
 
@@ -92,42 +98,45 @@ class ByteBpe:
         pieces = {i: token.hex() for token, i in vocabulary.items()}
         self._hex = F.split(F.lit(",".join(pieces.get(i, "") for i in range(self.size))), ",")
 
-    def _merged(self, a: Column, b: Column) -> Column:
+    def _merged(self, arrays: Column, a: Column, b: Column) -> Column:
         """The id, which is the rank, of the token that two neighbours make together; null if they make none."""
         key = a.cast("bigint") * self.size + b
-        return self._pairs.get(key, key * MIX[0] % PRIME, key * MIX[1] % PRIME)
+        return self._pairs.get(arrays, key, key * MIX[0] % PRIME, key * MIX[1] % PRIME)
 
     def id_of_whole(self, word: Column) -> Column:
         """The id of a word that is one token, by its 64-bit hash; null for other words."""
-        return F.get(F.transform(F.array(F.xxhash64(word)), lambda h: self._whole.get(h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))), F.lit(0))
+        return _let(self._whole.literal, lambda t: _let(F.xxhash64(word), lambda h: self._whole.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
     def ids_of_word(self, word: Column) -> Column:
         """Folds ranked merges over the word's bytes: each step joins the leftmost pair of lowest rank."""
-        at = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: self._bytes[F.ascii(c)])
-        one = lambda x: F.array(x)
+        return _let(F.struct(self._pairs.literal.alias("pairs"), self._bytes.alias("bytes")), lambda t: self._folded(word, t["pairs"], t["bytes"]))
+
+    def _folded(self, word: Column, pairs: Column, of_byte: Column) -> Column:
+        at = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: of_byte[F.ascii(c)])
+        none = F.array().cast("array<int>")
 
         def begin(ids: Column) -> Column:
-            return F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), self._merged).alias("ranks"))
+            ranks = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), lambda a, b: self._merged(pairs, a, b))
+            return F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
         def step(state: Column, best: Column) -> Column:
             ids, rank = state["ids"], state["ranks"]
             j = F.array_position(rank, best).cast("int")
-            left = F.when(j > 1, F.array_append(F.slice(rank, F.lit(1), j - 2), self._merged(F.get(ids, j - 2), best))).otherwise(F.slice(rank, 1, 0))
-            right = F.when(j < F.size(rank), F.array_prepend(F.slice(rank, j + 2, F.greatest(F.size(rank) - j - 1, F.lit(0))), self._merged(best, F.get(ids, j + 1)))).otherwise(F.slice(rank, 1, 0))
-            joined = F.concat(F.slice(ids, F.lit(1), j - 1), one(best), F.slice(ids, j + 2, F.greatest(F.size(ids) - j - 1, F.lit(0))))
+            left = F.when(j > 1, F.array_append(F.slice(rank, F.lit(1), j - 2), self._merged(pairs, F.get(ids, j - 2), best))).otherwise(none)
+            right = F.when(j < F.size(rank), F.array_prepend(F.slice(rank, j + 2, F.greatest(F.size(rank) - j - 1, F.lit(0))), self._merged(pairs, best, F.get(ids, j + 1)))).otherwise(none)
+            joined = F.concat(F.slice(ids, F.lit(1), j - 1), F.array(best), F.slice(ids, j + 2, F.greatest(F.size(ids) - j - 1, F.lit(0))))
             return F.struct(joined.alias("ids"), F.concat(left, right).alias("ranks"))
 
         def fold(state: Column, _: Column) -> Column:
             best = F.array_min(state["ranks"])
-            return F.when(best.isNull(), state).otherwise(F.get(F.transform(one(best), lambda b: step(state, b)), F.lit(0)))
+            return F.when(best.isNull(), state).otherwise(_let(best, lambda b: step(state, b)))
 
-        start = F.transform(one(at), begin)
         turns = F.sequence(F.lit(1), F.greatest(F.size(at) - 1, F.lit(1)))
-        whole = F.transform(start, lambda s: F.aggregate(turns, s, fold)["ids"])
-        return F.when(F.octet_length(word) > 0, F.get(whole, F.lit(0))).otherwise(F.array().cast("array<int>"))
+        whole = _let(at, lambda ids: _let(begin(ids), lambda s: F.aggregate(turns, s, fold)["ids"]))
+        return F.when(F.octet_length(word) > 0, whole).otherwise(none)
 
     def decoded(self, ids: Column) -> Column:
         """The text of token ids: binary pieces laid end to end, read as UTF-8."""
@@ -154,7 +163,9 @@ def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col
     folded = rest.select("word").distinct().select("word", bpe.ids_of_word(F.col("word")).alias("ids"))
     parts = rest.join(folded, "word").select("_id", "_h", F.array(F.struct("pos", "ids")).alias("_parts"))
     together = whole.unionByName(parts).groupBy("_id", "_h").agg(F.flatten(F.collect_list("_parts")).alias("_parts"))
-    ids = F.flatten(F.transform(F.array_sort(F.array_distinct("_parts")), lambda p: p["ids"]))
+    # parts in order of their place; repeated rows bring a place again, which is left out
+    once = lambda parts: F.filter(parts, lambda p, i: (i == 0) | (p["pos"] != F.get(parts, i - 1)["pos"]))
+    ids = F.flatten(F.transform(_let(F.array_sort("_parts"), once), lambda p: p["ids"]))
     return together.select(F.col("_id").alias(id_col), ids.alias("ids"))
 
 
