@@ -29,3 +29,23 @@ def previous(df: DataFrame, keys: list[str], order: list[str], block: Column, va
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     joined = rows.join(carried, same, "left")
     return joined.withColumn(name, F.coalesce("_near", "_carry")["v"]).drop("_block", "_held", "_near", "_b", "_carry", *[f"_k{i}" for i in range(len(keys))])
+
+
+def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the place of each row in one total order, from 1, without bringing all rows to one task.
+
+    ``bucket`` must not decrease along ``order``. Only the buckets' counts meet in one task; choose it coarse enough for
+    them to be few and fine enough for a bucket to fit a task.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_bucket").alias("_b"), (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return rows.join(before, F.col("_bucket").eqNullSafe(F.col("_b"))).withColumn(name, F.col("_before") + place).drop("_bucket", "_b", "_before")
+
+
+def tile(place: Column, rows: Column, tiles: int) -> Column:
+    """The tile of a place among equal-count tiles; the first ones take the rows left over."""
+    small, over = F.floor(rows / tiles), rows % tiles
+    head = over * (small + 1)
+    return F.when(place <= head, F.ceil(place / (small + 1))).otherwise(over + F.ceil((place - head) / F.greatest(small, F.lit(1)))).cast("bigint")
