@@ -46,12 +46,16 @@ def contract(edges: DataFrame, seed: int = 7, most_rounds: int = 200) -> DataFra
             moved = live.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
             live = cut(moved.where("u <> v").distinct())
         collapses.append(mates)
-    ends = both.sparkSession.createDataFrame([], f"v {edges.schema['u'].dataType.simpleString()}, label {edges.schema['u'].dataType.simpleString()}")
-    for i, mates in enumerate(reversed(collapses)):
-        up = mates.join(ends.select(F.col("v").alias("p"), "label"), "p", "left").select(F.col("u").alias("v"), F.coalesce("label", "p").alias("label"))
-        ends = up.union(ends)
-        if i % 4 == 3:
-            ends = cut(ends)
+    ends = None
+    for mates in reversed(collapses):
+        if ends is None:
+            ends = mates.select(F.col("u").alias("v"), F.col("p").alias("label"))
+        else:
+            # a label table stands twice in the next one, so each is cut, else the plan doubles every round
+            up = mates.join(ends.select(F.col("v").alias("p"), "label"), "p", "left").select(F.col("u").alias("v"), F.coalesce("label", "p").alias("label"))
+            ends = cut(up.union(ends))
+    if ends is None:
+        return both.select(F.col("u").alias("v"), F.col("v").alias("label"))
     roots = ends.select(F.col("label").alias("v"), "label").distinct()
     return ends.union(roots)
 
