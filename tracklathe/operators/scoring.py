@@ -26,7 +26,7 @@ def window_steps(samples: DataFrame, windows: DataFrame, methods: dict[str, tupl
     step = lambda c: (F.col(c) - F.lag(c).over(w))
     each = F.array(*[F.struct(F.lit(m).alias("method"), step(n).alias("en"), step(e).alias("ee")) for m, (n, e) in methods.items()])
     rows = rows.select(*WINDOW, "sample_idx", step("north").alias("dn"), step("east").alias("de"), each.alias("m")).where("dn is not null")
-    return rows.select(*WINDOW, "sample_idx", "dn", "de", F.explode("m").alias("m")).select(*WINDOW, "sample_idx", "method", "dn", "de", "m.en", "m.ee")
+    return rows.select(*WINDOW, "sample_idx", "dn", "de", F.explode("m").alias("m")).select(*WINDOW, "sample_idx", "m.method", "dn", "de", "m.en", "m.ee")
 
 
 def window_metrics(steps: DataFrame) -> DataFrame:
