@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklathe.llm import mixing, nearest_time, splits
 from tracklathe.llm.residue import message_classes, residue
-from tracklathe.llm.tokens import ByteBpe, encoded
+from tracklathe.llm.tokens import ByteBpe, decoded, encoded
 from tracklathe.session import cut, table
 
 QUERIES, SQL = {}, {}
@@ -78,22 +78,22 @@ def p6_unpaired(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Every text as its list of token ids."""
-    return encoded(table(spark, sf, "documents"), ByteBpe())
+    return encoded(table(spark, sf, "documents"), ByteBpe(spark))
 
 
 @query
 def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
     """The texts read back from their ids, with whether they are the same."""
-    bpe = ByteBpe()
+    bpe = ByteBpe(spark)
     ids = encoded(table(spark, sf, "documents"), bpe)
-    back = ids.select("doc_id", F.size("ids").alias("n_tokens"), bpe.decoded(F.col("ids")).alias("back"))
+    back = decoded(ids, bpe, name="back").select("doc_id", F.size("ids").alias("n_tokens"), "back")
     texts = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return back.join(texts, "doc_id").select("doc_id", "n_tokens", (F.col("back") == F.col("text")).alias("same"))
 
 
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents")
-    sizes = encoded(docs, ByteBpe()).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
+    sizes = encoded(docs, ByteBpe(spark)).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
     return mixing.mixed(docs.select("doc_id", "source").join(sizes, "doc_id"), table(spark, sf, "mix_targets"))
 
 

@@ -6,8 +6,9 @@ import base64
 import os
 from functools import lru_cache
 
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklathe.session import settle
@@ -29,7 +30,7 @@ STEP, MIX, PRIME = 1021, (1103515245, 1664525), 4294967291
 
 
 class _Table:
-    """A perfect hash of 64-bit keys to ints, built here and read by column expressions on three literal arrays.
+    """A perfect hash of 64-bit keys to ints, built here and read by column expressions on three arrays.
 
     Each key comes with two numbers below 2**32, low and high. Its bucket is low % buckets; with the bucket's
     displacement d its slot is (high + d * (1 + high % STEP)) % slots. Slots without a key hold -1.
@@ -57,8 +58,7 @@ class _Table:
                 break
             n_slots += 2
         self.n, self.m = n_buckets, n_slots
-        #: The arrays as one literal; get() takes it by a variable, so that a plan holds it once.
-        self.literal = F.struct(_literal(shift).alias("shift"), _literal(keys, "bigint").alias("keys"), _literal(values).alias("values"))
+        self.arrays = (shift, keys, values)
 
     def get(self, arrays: Column, key: Column, low: Column, high: Column) -> Column:
         d = arrays["shift"][(low % self.n).cast("int")].cast("bigint")
@@ -66,20 +66,19 @@ class _Table:
         return F.when(arrays["keys"][slot] == key, arrays["values"][slot])
 
 
-def _literal(values: list[int], kind: str = "int") -> Column:
-    """An array literal: the text is parsed once, when the optimizer folds constants."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def _let(value: Column, body) -> Column:
     """The body with the value as a variable, so that it is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 class ByteBpe:
-    """Column expressions of one vocabulary. ``path`` is a file of lines: a token in base 64, its rank."""
+    """Column expressions of one vocabulary. ``path`` is a file of lines: a token in base 64, its rank.
 
-    def __init__(self, path: str = f"{FOLDER}/byte_bpe_50k.tiktoken"):
+    The rank map is a constant of the plan, a scalar subquery over one local row of arrays of about two megabytes: a
+    literal of that size would be written out in every plan description.
+    """
+
+    def __init__(self, spark: SparkSession, path: str = f"{FOLDER}/byte_bpe_50k.tiktoken"):
         self.path = path
         vocabulary = ranks(path)
         self.size = max(vocabulary.values()) + 1
@@ -94,25 +93,39 @@ class ByteBpe:
         self._pairs = _Table([(k, k * MIX[0] % PRIME, k * MIX[1] % PRIME, i) for k, i in pairs.items()])
         whole = [(xxhash.xxh64_intdigest(token, seed=42), i) for token, i in vocabulary.items()]
         self._whole = _Table([(h - (h >> 63 << 64), h & 0xFFFFFFFF, h >> 32, i) for h, i in whole if h != 2**64 - 1])
-        self._bytes = _literal([vocabulary[bytes([b])] for b in range(256)])
-        pieces = {i: token.hex() for token, i in vocabulary.items()}
-        self._hex = F.split(F.lit(",".join(pieces.get(i, "") for i in range(self.size))), ",")
+        hexes = [""] * self.size
+        for token, i in vocabulary.items():
+            hexes[i] = token.hex()
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+
+        def constant(**arrays: pa.Array) -> Column:
+            rows = spark.createDataFrame(pa.table(arrays))
+            return rows.select(F.struct(*rows.columns)).scalar()
+
+        def three(t: _Table) -> dict[str, pa.Array]:
+            return {n: pa.array([x], k) for n, x, k in zip(("shift", "keys", "values"), t.arrays, (ints, longs, ints))}
+
+        #: Columns to add to a frame before the expressions that name them; the optimizer writes them in, no row carries them.
+        self.merges = constant(**three(self._pairs), bytes=pa.array([[vocabulary[bytes([b])] for b in range(256)]], ints))
+        self.whole = constant(**three(self._whole))
+        self.pieces = constant(hex=pa.array([hexes], pa.list_(pa.string())))
+        self._pairs.arrays = self._whole.arrays = ()
 
     def _merged(self, arrays: Column, a: Column, b: Column) -> Column:
         """The id, which is the rank, of the token that two neighbours make together; null if they make none."""
         key = a.cast("bigint") * self.size + b
         return self._pairs.get(arrays, key, key * MIX[0] % PRIME, key * MIX[1] % PRIME)
 
-    def id_of_whole(self, word: Column) -> Column:
+    def id_of_whole(self, word: Column, whole: Column) -> Column:
         """The id of a word that is one token, by its 64-bit hash; null for other words."""
-        return _let(self._whole.literal, lambda t: _let(F.xxhash64(word), lambda h: self._whole.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))))
+        return _let(whole, lambda t: _let(F.xxhash64(word), lambda h: self._whole.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
-    def ids_of_word(self, word: Column) -> Column:
+    def ids_of_word(self, word: Column, merges: Column) -> Column:
         """Folds ranked merges over the word's bytes: each step joins the leftmost pair of lowest rank."""
-        return _let(F.struct(self._pairs.literal.alias("pairs"), self._bytes.alias("bytes")), lambda t: self._folded(word, t["pairs"], t["bytes"]))
+        return _let(merges, lambda t: self._folded(word, t, t["bytes"]))
 
     def _folded(self, word: Column, pairs: Column, of_byte: Column) -> Column:
         at = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: of_byte[F.ascii(c)])
@@ -138,9 +151,9 @@ class ByteBpe:
         whole = _let(at, lambda ids: _let(begin(ids), lambda s: F.aggregate(turns, s, fold)["ids"]))
         return F.when(F.octet_length(word) > 0, whole).otherwise(none)
 
-    def decoded(self, ids: Column) -> Column:
+    def decoded(self, ids: Column, pieces: Column) -> Column:
         """The text of token ids: binary pieces laid end to end, read as UTF-8."""
-        return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: self._hex[i]), "")), "UTF-8")
+        return _let(pieces, lambda t: F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: t["hex"][i]), "")), "UTF-8"))
 
 
 def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,13 +167,13 @@ def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col
     """
     text = F.col(text_col)
     rows = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), F.coalesce(bpe.words(text), F.array().cast("array<string>")).alias("_w"))
-    rows = rows.select("_id", "_h", F.transform("_w", lambda w, i: F.struct(i.alias("pos"), bpe.id_of_whole(w).alias("id"), w.alias("word"))).alias("_t"))
+    rows = rows.withColumn("_c", bpe.whole).select("_id", "_h", F.transform("_w", lambda w, i: F.struct(i.alias("pos"), bpe.id_of_whole(w, F.col("_c")).alias("id"), w.alias("word"))).alias("_t"))
     rows = settle(rows)
     known = F.transform(F.filter("_t", lambda t: t["id"].isNotNull()), lambda t: F.struct(t["pos"].alias("pos"), F.array(t["id"]).alias("ids")))
     whole = rows.select("_id", "_h", known.alias("_parts"))
     rest = rows.select("_id", "_h", F.explode(F.transform(F.filter("_t", lambda t: t["id"].isNull()), lambda t: F.struct(t["pos"].alias("pos"), t["word"].alias("word")))).alias("p"))
     rest = rest.select("_id", "_h", "p.pos", "p.word")
-    folded = rest.select("word").distinct().select("word", bpe.ids_of_word(F.col("word")).alias("ids"))
+    folded = rest.select("word").distinct().withColumn("_c", bpe.merges).select("word", bpe.ids_of_word(F.col("word"), F.col("_c")).alias("ids"))
     parts = rest.join(folded, "word").select("_id", "_h", F.array(F.struct("pos", "ids")).alias("_parts"))
     together = whole.unionByName(parts).groupBy("_id", "_h").agg(F.flatten(F.collect_list("_parts")).alias("_parts"))
     # parts in order of their place; repeated rows bring a place again, which is left out
@@ -169,7 +182,8 @@ def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col
     return together.select(F.col("_id").alias(id_col), ids.alias("ids"))
 
 
-def token_counts(documents: DataFrame, bpe: ByteBpe, text_col: str = "text") -> Column:
-    """The number of tokens of a text as one expression, for where only sizes matter: no shuffle at all."""
-    words = F.coalesce(bpe.words(F.col(text_col)), F.array().cast("array<string>"))
-    return F.aggregate(words, F.lit(0), lambda n, w: n + F.when(bpe.id_of_whole(w).isNotNull(), 1).otherwise(F.size(bpe.ids_of_word(w))))
+
+def decoded(ids: DataFrame, bpe: ByteBpe, ids_col: str = "ids", name: str = "text") -> DataFrame:
+    """Adds the text of each row's token ids; an empty list gives the empty text, null gives null."""
+    rest = [c for c in ids.columns if c != name]
+    return ids.withColumn("_c", bpe.pieces).select(*rest, bpe.decoded(F.col(ids_col), F.col("_c")).alias(name))
