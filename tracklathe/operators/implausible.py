@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklathe.session import cut
+
 SERIES = ["table_name", "source", "field_name"]
 
 
@@ -48,19 +50,20 @@ def _moments(rows: DataFrame, keep: Column) -> DataFrame:
     return sums.select(*SERIES, "block").join(total, SERIES)
 
 
-def implausible(series: DataFrame, limits: Column, stuck_fields: list[str], stuck_run: int = 5, threshold: float = 8.0, shock: float = 3.5, rounds: int = 3) -> DataFrame:
+def implausible(series: DataFrame, limits: Column, stuck_fields: list[str], stuck_run: int = 5, threshold: float = 8.0, shock: float = 3.5, rounds: int = 2) -> DataFrame:
     """The values of long series that can't be, that stand out, or that are stuck, with the reason.
 
     ``series`` has ``table_name, row_id, source, field_name, at, value, block`` (``block`` must not decrease along
     ``at``); ``limits`` is true for a physically possible value. Null and not-a-number values are no cases and do not
     break a run; rows of one (table, row, field) count once.
 
-    Spikes: each round fits level, spread and a first-order autoregression to the values not yet excluded. A value is a
-    candidate if its additive-outlier statistic (innovation against the last value kept) exceeds ``shock`` innovation
-    spreads, or if it lies in a level shift (beyond ``threshold`` spreads of the level, which also holds for the
-    followers of a shift). Candidates more than ``threshold`` spreads from the level are excluded from the next fit; those
-    of the last round are the cases. The first round starts from quantiles, so that large errors can't hide others. A
-    series without spread has no spikes.
+    Spikes: each round fits level, spread and a first-order autoregression to the values not yet excluded. A value is an
+    additive outlier if its innovation against the last value kept exceeds ``shock`` innovation spreads; as excluded values
+    are no longer the last ones kept, the followers of a shift are tested against the level before it and are found too.
+    Of the outliers those more than ``threshold`` spreads from the level are excluded from the next fit, and those of the
+    last round are the cases: ``shift`` where the row before is one as well and lies within ``shock`` spreads, else
+    ``spike``. The first round starts from quantiles, so that large errors can't hide others. A series without spread has
+    neither. Rounds are cut by checkpoints, so the plan stays small.
     """
     clean = F.nanvl(F.col("value").cast("double"), F.lit(None))
     rows = series.withColumn("value", clean).where("value is not null and row_id is not null").dropDuplicates(["table_name", "row_id", "field_name"])
@@ -68,26 +71,27 @@ def implausible(series: DataFrame, limits: Column, stuck_fields: list[str], stuc
     rows = rows.repartition(*SERIES, "block")
     rows = _stuck(rows, stuck_run)
     is_stuck = (F.col("run") >= stuck_run) & (F.col("value") != 0) & F.col("field_name").isin(stuck_fields)
-    rows = rows.withColumn("stuck", is_stuck)
+    rows = cut(rows.withColumn("stuck", is_stuck).drop("run"))
     q = F.percentile_approx(F.when(F.col("possible"), F.col("value")), F.array(F.lit(0.05), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95)), F.lit(2000))
     start = rows.groupBy(*SERIES).agg(q.alias("q"))
     scale = F.greatest((F.col("q")[4] - F.col("q")[0]) / 3.29, (F.col("q")[3] - F.col("q")[1]) / 1.349)
     start = start.select(*SERIES, F.coalesce(F.col("q")[2], F.lit(0.0)).alias("centre"), scale.alias("scale"))
     blocks = rows.select(*SERIES, "block").distinct().join(start, SERIES)
     rows = rows.join(blocks, [*SERIES, "block"])
-    out = F.coalesce(F.abs(F.col("value") - F.col("centre")) > 1.5 * threshold * F.col("scale"), F.lit(False))
-    rows = rows.withColumn("out", out)
-    inside = Window.partitionBy(*SERIES, "block").orderBy("at", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("out", F.coalesce(F.abs(F.col("value") - F.col("centre")) > 1.5 * threshold * F.col("scale"), F.lit(False))).drop("scale")
+    inside = Window.partitionBy(*SERIES, "block").orderBy("at", "row_id")
     for _ in range(rounds):
+        rows = cut(rows)
         keep = F.col("possible") & ~F.col("out")
-        fit = _moments(rows, keep)
-        rows = rows.join(fit, [*SERIES, "block"], "left")
+        fitted = rows.join(_moments(rows, keep), [*SERIES, "block"], "left")
         x = F.col("value") - F.col("centre") - F.col("mean")
-        last = F.last(F.when(keep, x), ignorenulls=True).over(inside)
-        rows = rows.withColumn("_x", x).withColumn("_last", F.coalesce(last, F.lit(0.0)))
+        last = F.last(F.when(keep, x), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        fitted = fitted.withColumn("_x", x).withColumn("_last", F.coalesce(last, F.lit(0.0)))
         additive = F.abs(F.col("_x") - F.col("phi") * F.col("_last")) > shock * F.col("sigma")
-        shifted = F.abs(F.col("_x")) > threshold * F.col("sd")
-        case = (additive | shifted) & (F.abs(F.col("_x")) > threshold * F.col("sd")) & (F.col("sd") > 0)
-        rows = rows.withColumn("out", F.coalesce(case, F.lit(False))).drop("mean", "sd", "phi", "sigma", "_x", "_last")
-    reason = F.when(~F.col("possible"), "impossible").when(F.col("out"), "spike").when(F.col("stuck"), "stuck")
+        case = additive & (F.abs(F.col("_x")) > threshold * F.col("sd")) & (F.col("sd") > 0)
+        fitted = fitted.withColumn("out", F.coalesce(case, F.lit(False)))
+        beside = F.lag(F.when(F.col("out"), F.col("_x"))).over(inside)
+        fitted = fitted.withColumn("shifted", F.coalesce(F.abs(F.col("_x") - beside) <= shock * F.col("sd"), F.lit(False)))
+        rows = fitted.drop("mean", "sd", "phi", "sigma", "_x", "_last")
+    reason = F.when(~F.col("possible"), "impossible").when(F.col("out") & F.col("shifted"), "shift").when(F.col("out"), "spike").when(F.col("stuck"), "stuck")
     return rows.select("table_name", "row_id", "field_name", "source", "value", reason.alias("reason")).where("reason is not null")
