@@ -17,6 +17,8 @@ def with_events(statement: str) -> str:
     """The statement with the event stream's definition in front where it speaks of it."""
     if not re.search(r"\bev\b", statement):
         return statement
+    if statement.startswith("with recursive "):
+        return "with recursive " + EV + ", " + statement[15:]
     return "with " + EV + (", " + statement[5:] if statement.startswith("with ") else " " + statement)
 
 
