@@ -25,8 +25,8 @@ def contract(edges: DataFrame, seed: int = 7, most_rounds: int = 200) -> DataFra
 
     Each round every vertex tosses a coin, heavier to heads the more neighbours it has. A tails vertex next to heads
     collapses into the first of them; edges move to the vertices left, and loops and repeats vanish. Rounds end when no
-    edge is left. The collapses are then unwound from the last round to the first. Rounds are cut by checkpoints, so
-    a lost executor costs no earlier round. Loops and null ends are ignored; vertices without an edge have no row.
+    edge is left. The collapses are then unwound from the last round to the first. Rounds are cut by written tables,
+    so a lost executor costs no earlier round. Loops and null ends are ignored; vertices without an edge have no row.
     """
     both = edges.select("u", "v").where("u is not null and v is not null and u <> v")
     live = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
@@ -40,11 +40,10 @@ def contract(edges: DataFrame, seed: int = 7, most_rounds: int = 200) -> DataFra
         heads = coins.where("heads").select(F.col("u").alias("v"))
         mates = live.join(heads, "v", "left_semi").groupBy("u").agg(F.min("v").alias("p"))
         mates = cut(mates.join(coins.where("not heads").select("u"), "u"))
-        if not mates.isEmpty():
-            a = mates.select(F.col("u"), F.col("p").alias("pu"))
-            b = mates.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-            moved = live.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
-            live = cut(moved.where("u <> v").distinct())
+        a = mates.select(F.col("u"), F.col("p").alias("pu"))
+        b = mates.select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        moved = live.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
+        live = cut(moved.where("u <> v").distinct())
         collapses.append(mates)
     ends = None
     for mates in reversed(collapses):
