@@ -63,7 +63,7 @@ def implausible(series: DataFrame, limits: Column, stuck_fields: list[str], stuc
     Of the outliers those more than ``threshold`` spreads from the level are excluded from the next fit, and those of the
     last round are the cases: ``shift`` where the row before is one as well and lies within ``shock`` spreads, else
     ``spike``. The first round starts from quantiles, so that large errors can't hide others. A series without spread has
-    neither. Rounds are cut by checkpoints, so the plan stays small.
+    neither. Rounds are cut by written tables, so the plan stays small.
     """
     clean = F.nanvl(F.col("value").cast("double"), F.lit(None))
     rows = series.withColumn("value", clean).where("value is not null and row_id is not null").dropDuplicates(["table_name", "row_id", "field_name"])
