@@ -147,7 +147,7 @@ def changes(records: DataFrame, block_days: int = 64) -> DataFrame:
 
     A feed's first file has none. A label that differs only in case and white space is the same; a field without values
     keeps the kind it had; a field that comes back is only added. Files of one stamp go by ``file_id``. Files with a null
-    feed form one feed. Feeds are worked through in blocks of ``block_days``, so a feed of any size is split.
+    feed form one feed; files without id take no part. Feeds are worked through in blocks of ``block_days``, so a feed of any size is split.
     """
     order = ["written_at", "file_id"]
     fields = layouts(records)

@@ -66,8 +66,8 @@ def implausible(series: DataFrame, limits: Column, stuck_fields: list[str], stuc
     neither. Rounds are cut by written tables, so the plan stays small.
     """
     clean = F.nanvl(F.col("value").cast("double"), F.lit(None))
-    rows = series.withColumn("value", clean).where("value is not null and row_id is not null").dropDuplicates(["table_name", "row_id", "field_name"])
-    rows = rows.withColumn("source", F.coalesce("source", F.lit(""))).withColumn("possible", F.coalesce(limits, F.lit(False)))
+    rows = series.select("table_name", F.coalesce("source", F.lit("")).alias("source"), "field_name", "row_id", "at", "block", clean.alias("value"), F.coalesce(limits, F.lit(False)).alias("possible"))
+    rows = rows.where("value is not null and row_id is not null").dropDuplicates(["table_name", "row_id", "field_name"])
     rows = rows.repartition(*SERIES, "block")
     rows = _stuck(rows, stuck_run)
     is_stuck = (F.col("run") >= stuck_run) & (F.col("value") != 0) & F.col("field_name").isin(stuck_fields)
