@@ -44,6 +44,9 @@ class InvariantFilter:
         self.v, self.p, self.bg, self.ba = (np.zeros(3) for _ in range(4))
         self.cov = np.diag(np.repeat(np.square(noise.start), 3))
         self.steps = self.rejected = 0
+        self.density = np.zeros((18, 18))
+        self.density[:3, :3], self.density[3:6, 3:6] = np.eye(3) * noise.gyro**2, np.eye(3) * noise.accel**2
+        self.density[9:, 9:] = np.diag(np.repeat(np.square([noise.gyro_walk, noise.accel_walk, noise.mount_walk]), 3))
 
     def level(self, accel: np.ndarray) -> None:
         """Roll and pitch from a mean specific force; heading stays open."""
@@ -54,18 +57,14 @@ class InvariantFilter:
 
     def predict(self, gyro: np.ndarray, accel: np.ndarray, dt: float) -> None:
         w, f = gyro - self.bg, accel - self.ba
-        r, zero = self.rot @ exp_so3(w * dt / 2), np.zeros((18, 18))
+        r, a = self.rot @ exp_so3(w * dt / 2), np.zeros((18, 18))
         v, p = self.v, self.p
-        a = zero.copy()
         a[:3, 9:12] = -r
         a[3:6, :3], a[3:6, 9:12], a[3:6, 12:15] = skew(GRAVITY), -skew(v) @ r, -r
         a[6:9, 3:6], a[6:9, 9:12] = np.eye(3), -skew(p) @ r
-        c, q = self.c, zero.copy()
-        q[:3, :3], q[3:6, 3:6] = np.eye(3) * c.gyro**2, np.eye(3) * c.accel**2
-        turn = zero.copy()
-        turn[:9, :9], turn[9:, 9:] = adjoint(r, v, p), np.eye(9)
-        q[9:, 9:] = np.diag(np.repeat(np.square([c.gyro_walk, c.accel_walk, c.mount_walk]), 3))
-        flow, noise = discrete_noise(a, turn @ q @ turn.T, dt)
+        turn = np.eye(18)
+        turn[:9, :9] = adjoint(r, v, p)
+        flow, noise = discrete_noise(a, turn @ self.density @ turn.T, dt)
         self.cov = flow @ self.cov @ flow.T + noise
         self.rot, self.v, self.p = propagate(self.rot, v, p, w, f, dt, GRAVITY)
         self.steps += 1
