@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracklathe.functions.labels import plain, resolve
 from tracklathe.operators.blocked import previous
+from tracklathe.session import cut
 
 SEPARATORS = ",;\t|"
 CELLS = "array<struct<label:string,field:string,kind:string,value:string>>"
@@ -124,8 +125,11 @@ def known_labels(channels: DataFrame) -> frozenset[tuple[str, str, str]]:
 
 
 def layouts(records: DataFrame) -> DataFrame:
-    """One row for each file and field: its label, the kind of its values in the file (null without values), counts by kind."""
-    cells = records.where("row_no >= -1").select("file_id", "feed", "record_kind", "written_at", "row_no", F.explode("cells").alias("c")).where("c.field is not null")
+    """One row for each file and field: its label, the kind of its values in the file (null without values), counts by kind.
+
+    A file also has a row with a null field if it has a record, or a layout, without known fields.
+    """
+    cells = records.where("row_no >= -1").select("file_id", "feed", "record_kind", "written_at", F.explode_outer(F.filter("cells", lambda c: c["field"].isNotNull())).alias("c"))
     has = lambda k: F.count_if(F.col("c.kind") == k)
     stats = cells.groupBy("file_id", "feed", "record_kind", "written_at", F.col("c.field").alias("field")).agg(
         F.min("c.label").alias("label"), *[has(k).alias(f"n_{k}") for k in SPARK_TYPES]
@@ -150,10 +154,10 @@ def changes(records: DataFrame, block_days: int = 64) -> DataFrame:
     feed form one feed; files without id take no part. Feeds are worked through in blocks of ``block_days``, so a feed of any size is split.
     """
     order = ["written_at", "file_id"]
-    fields = layouts(records)
-    fields = fields.withColumn("plain", F.lower(F.regexp_replace("label", r"\s+", "")))
+    each = cut(layouts(records))  # payloads are parsed once
+    fields = each.where("field is not null").withColumn("plain", F.lower(F.regexp_replace("label", r"\s+", "")))
     fields = previous(fields, ["feed", "record_kind", "field"], order, _day("written_at", block_days), F.col("kind"), "had", F.col("kind").isNotNull())
-    files = records.where("row_no = -1").select("file_id", "feed", "record_kind", "written_at").distinct()
+    files = each.select("file_id", "feed", "record_kind", "written_at").distinct()
     files = previous(files, ["feed", "record_kind"], order, _day("written_at", block_days), F.col("file_id"), "before")
     files = files.where("before is not null").select("file_id", "before")
     now = files.join(fields.select("file_id", "field", "plain", "kind", "had"), "file_id")
