@@ -51,12 +51,12 @@ def test_manifest(spark):
 
 def test_documents(spark):
     one = lambda x: spark.createDataFrame([(json.dumps(x),)], "value string")
-    t = documents.tunnels(one({"schema": documents.TUNNELS, "tunnels": [{"id": "a", "name": "A", "points": [{"lat": 0.0, "lon": 0.0}, {"lat": None, "lon": 1.0}, {"lat": 0.0, "lon": 0.01}]}, {"id": "b", "points": [{"lat": 0.0, "lon": 0.0}]}]})).collect()
+    t = documents.tunnels(one({"schema": "tunnels/1", "tunnels": [{"id": "a", "name": "A", "points": [{"lat": 0.0, "lon": 0.0}, {"lat": None, "lon": 1.0}, {"lat": 0.0, "lon": 0.01}]}, {"id": "b", "points": [{"lat": 0.0, "lon": 0.0}]}]}), "tunnels/1").collect()
     assert [(r.id, round(r.length_m, 1), len(r.points)) for r in t] == [("a", 1113.2, 2)]
-    e = documents.trajectories(one({"schema": documents.TRAJECTORY, "sequence": "s", "length_s": 60, "start_idx": 3, "epochs": [{"t_s": 0.0, "est": [1, 2], "truth": [1, 1], "sigma": 0.1}]})).first()
+    e = documents.trajectories(one({"schema": "trajectory/1", "sequence": "s", "length_s": 60, "start_idx": 3, "epochs": [{"t_s": 0.0, "est": [1, 2], "truth": [1, 1], "sigma": 0.1}]}), "trajectory/1").first()
     assert (e.sequence, e.epoch, e.est) == ("s", 0, [1.0, 2.0])
     with pytest.raises(Exception, match="unknown schema"):
-        documents.trajectories(one({"schema": "other/9"})).collect()
+        documents.trajectories(one({"schema": "other/9"}), "trajectory/1").collect()
     hit = {"geometry": {"coordinates": [77.2, 28.6]}, "properties": {"osm_id": 1, "name": "Gate", "street": " ", "city": "Delhi", "countrycode": "in"}}
     assert [(r.title, r.subtitle, r.lat) for r in documents.photon(one({"features": [hit, hit | {"properties": {"name": " "}}]}), country="IN").collect()] == [("Gate", "Delhi", 28.6)]
     assert [(r.title, r.subtitle) for r in documents.nominatim(one([{"place_id": 2, "display_name": "Gate, A, B, C, D", "lat": "28.6", "lon": "77.2"}, {"place_id": 3, "display_name": "X", "lat": "bad", "lon": "1"}])).collect()] == [("Gate", "A, B, C")]

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Schema names of the documents that may be read.
-TRAJECTORY, TUNNELS = "idr-trajectory/1", "idr.tunnels.v1"
 TRAJECTORY_SCHEMA = "schema string, sequence string, length_s double, start_idx bigint, epochs array<struct<t_s:double,est:array<double>,truth:array<double>,sigma:double>>"
 TUNNEL_SCHEMA = "schema string, tunnels array<struct<id:string,name:string,points:array<struct<lat:double,lon:double>>>>"
 GEOJSON = "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<osm_id:bigint,name:string,street:string,city:string,state:string,countrycode:string,osm_key:string,osm_value:string>>>"
@@ -19,15 +17,15 @@ def _known(doc: Column, schema: str) -> Column:
     return F.when(doc["schema"].eqNullSafe(F.lit(schema)), doc).otherwise(F.raise_error(F.concat(F.lit("unknown schema: "), F.coalesce(doc["schema"], F.lit("none")))).cast("void"))
 
 
-def trajectories(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Trajectory records, one row an epoch."""
-    d = texts.select(_known(F.from_json(column, TRAJECTORY_SCHEMA), TRAJECTORY).alias("d"))
+def trajectories(texts: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Trajectory records of the named schema version, one row an epoch; any other version is refused."""
+    d = texts.select(_known(F.from_json(column, TRAJECTORY_SCHEMA), schema).alias("d"))
     return d.select("d.sequence", "d.length_s", "d.start_idx", F.posexplode("d.epochs").alias("epoch", "e")).select("sequence", "length_s", "start_idx", "epoch", "e.*")
 
 
-def tunnels(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Tunnel centrelines: vertices that aren't numbers left out, tunnels of fewer than two points too, with their length."""
-    d = texts.select(F.explode(_known(F.from_json(column, TUNNEL_SCHEMA), TUNNELS)["tunnels"]).alias("t"))
+def tunnels(texts: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Tunnel centrelines of the named schema version: vertices that aren't numbers left out, tunnels of fewer than two points too, with their length."""
+    d = texts.select(F.explode(_known(F.from_json(column, TUNNEL_SCHEMA), schema)["tunnels"]).alias("t"))
     ok = lambda p: p["lat"].isNotNull() & p["lon"].isNotNull() & ~F.isnan(p["lat"]) & ~F.isnan(p["lon"])
     d = d.select("t.id", "t.name", F.filter("t.points", ok).alias("points")).where(F.size("points") >= 2)
 
