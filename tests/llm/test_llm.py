@@ -123,17 +123,19 @@ TEXTS = [
 ]
 
 
-def test_ids_and_round_trip(spark):
+@pytest.mark.parametrize("dictionary", [1 << 17, 3])
+def test_ids_and_round_trip(spark, dictionary):
     import public_tokenizers
     import tiktoken
 
     bpe = ByteBpe(spark)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(bpe.path), special_tokens={})
     rows = [(i, t, 1, "c") for i, t in enumerate(TEXTS)]
-    ids = encoded(spark.createDataFrame(rows + rows[3:5] + [(None, "null id", 1, "c")], "doc_id long, text string, ids int, _c string"), bpe)
+    table = spark.createDataFrame(rows + rows[3:5] + [(None, "null id", 1, "c")], "doc_id long, text string, ids int, _c string")
+    ids = encoded(table, bpe, dictionary=dictionary)
     got = {r.doc_id: r.ids for r in ids.collect()}
     assert got == {i: own.encode_ordinary(t or "") for i, t in enumerate(TEXTS)} | {None: own.encode_ordinary("null id")}
-    assert ids.count() == len(TEXTS) + 1
+    assert ids.count() == len(TEXTS) + 3
     assert {r.doc_id: r.text for r in decoded(ids, bpe).collect() if r.doc_id is not None} == {i: t or "" for i, t in enumerate(TEXTS)}
     assert encoded(spark.createDataFrame([], "doc_id long, text string"), bpe).count() == 0
 

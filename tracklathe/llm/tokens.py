@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklathe.session import settle
+from tracklathe.session import cut, settle
 
 #: The vocabulary's folder; a parameter everywhere, this is its default place.
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -43,17 +43,17 @@ class _Table:
             groups[item[1] % n_buckets].append(item)
         groups_by_size = sorted(range(n_buckets), key=lambda i: -len(groups[i]))
         while True:
-            shift, keys, values = [0] * n_buckets, [-1] * n_slots, [0] * n_slots
+            shift, keys, values, taken = [0] * n_buckets, [-1] * n_slots, [0] * n_slots, bytearray(n_slots)
             for b in groups_by_size:
                 for d in range(5000):
                     at = [(high + d * (1 + high % STEP)) % n_slots for _, _, high, _ in groups[b]]
-                    if len(set(at)) == len(at) and all(keys[i] < 0 for i in at):
+                    if len(set(at)) == len(at) and not any(taken[i] for i in at):
                         break
                 else:
                     break
                 shift[b] = d
                 for i, (key, _, _, value) in zip(at, groups[b]):
-                    keys[i], values[i] = key, value
+                    keys[i], values[i], taken[i] = key, value, 1
             else:
                 break
             n_slots += 2
@@ -156,31 +156,64 @@ class ByteBpe:
         return _let(pieces, lambda t: F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: t["hex"][i]), "")), "UTF-8"))
 
 
-def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's token ids, without special tokens: (id, ``ids``).
+class _Dictionary:
+    """The corpus' most frequent words of several tokens, with their ids, as a constant of the plan.
 
-    Null and empty texts have the empty list. Repeated rows come out once; rows of one id with different texts each
-    come out. A null id is kept. Other columns are ignored.
-
-    Words that are one token get their id in the row. The others are counted out to the corpus' distinct words, which
-    are folded once each and joined back by word; singles and folded words of a text meet in one shuffle.
+    It has at most ``most`` words of at most ``longest`` bytes, whatever the corpus: some megabytes by default.
     """
-    text = F.col(text_col)
-    rows = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), F.coalesce(bpe.words(text), F.array().cast("array<string>")).alias("_w"))
-    rows = rows.withColumn("_c", bpe.whole).select("_id", "_h", F.transform("_w", lambda w, i: F.struct(i.alias("pos"), bpe.id_of_whole(w, F.col("_c")).alias("id"), w.alias("word"))).alias("_t"))
-    rows = settle(rows)
-    known = F.transform(F.filter("_t", lambda t: t["id"].isNotNull()), lambda t: F.struct(t["pos"].alias("pos"), F.array(t["id"]).alias("ids")))
-    whole = rows.select("_id", "_h", known.alias("_parts"))
-    rest = rows.select("_id", "_h", F.explode(F.transform(F.filter("_t", lambda t: t["id"].isNull()), lambda t: F.struct(t["pos"].alias("pos"), t["word"].alias("word")))).alias("p"))
-    rest = rest.select("_id", "_h", "p.pos", "p.word")
-    folded = rest.select("word").distinct().withColumn("_c", bpe.merges).select("word", bpe.ids_of_word(F.col("word"), F.col("_c")).alias("ids"))
-    parts = rest.join(folded, "word").select("_id", "_h", F.array(F.struct("pos", "ids")).alias("_parts"))
-    together = whole.unionByName(parts).groupBy("_id", "_h").agg(F.flatten(F.collect_list("_parts")).alias("_parts"))
-    # parts in order of their place; repeated rows bring a place again, which is left out
-    once = lambda parts: F.filter(parts, lambda p, i: (i == 0) | (p["pos"] != F.get(parts, i - 1)["pos"]))
-    ids = F.flatten(F.transform(_let(F.array_sort("_parts"), once), lambda p: p["ids"]))
-    return together.select(F.col("_id").alias(id_col), ids.alias("ids"))
 
+    def __init__(self, spark: SparkSession, words: DataFrame, bpe: ByteBpe, most: int, longest: int):
+        top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.octet_length("word") <= longest).orderBy(F.desc("n"), "word").limit(most)
+        got = top.select("word").withColumn("_c", bpe.merges).select("word", bpe.ids_of_word(F.col("word"), F.col("_c")).alias("ids")).toArrow()
+        names, ids = got.column("word").to_pylist(), got.column("ids").to_pylist()
+        hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in names]
+        once = {h: i for i, h in enumerate(hashes) if h != 2**64 - 1}  # of two words with one hash the other goes the long way
+        self._table = _Table([(h - (h >> 63 << 64), h & 0xFFFFFFFF, h >> 32, i) for h, i in once.items()])
+        starts = [0]
+        for x in ids:
+            starts.append(starts[-1] + len(x))
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        shift, keys, values = self._table.arrays
+        arrays = {"shift": ([shift], ints), "keys": ([keys], longs), "values": ([values], ints), "words": ([names], pa.list_(pa.string())), "starts": ([starts], ints), "ids": ([[i for x in ids for i in x]], ints)}
+        rows = spark.createDataFrame(pa.table({k: pa.array(v, t) for k, (v, t) in arrays.items()}))
+        self.constant = rows.select(F.struct(*rows.columns)).scalar()
+
+    def ids(self, word: Column, constant: Column) -> Column:
+        """The word's ids; null for a word that isn't in here."""
+        def found(t: Column, h: Column) -> Column:
+            return _let(self._table.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)), lambda i: F.when(t["words"][i] == word, F.slice(t["ids"], t["starts"][i] + 1, t["starts"][i + 1] - t["starts"][i])))
+
+        return _let(constant, lambda t: _let(F.xxhash64(word), lambda h: found(t, h)))
+
+
+def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text", dictionary: int = 1 << 17, longest: int = 64) -> DataFrame:
+    """Each row's token ids, without special tokens: (id, ``ids``), one row for every row of the input.
+
+    Null and empty texts have the empty list. Repeated rows come out as often as they stand, a null id is kept, other
+    columns are ignored.
+
+    A first pass counts the words that aren't one token, combined before the shuffle; each distinct one is folded once.
+    The ``dictionary`` most frequent of them (up to ``longest`` bytes) are then looked up in the row, as are single
+    tokens, so nearly all texts are done without a shuffle. Texts with other words are joined with those words' folds and
+    put together by place: the same result by the longer way, for a corpus of any vocabulary.
+    """
+    spark, text = documents.sparkSession, F.col(text_col)
+    rows = documents.select(F.col(id_col).alias("_id"), F.coalesce(bpe.words(text), F.array().cast("array<string>")).alias("_w")).withColumn("_c", bpe.whole)
+    hard = rows.select(F.explode(F.filter("_w", lambda w: bpe.id_of_whole(w, F.col("_c")).isNull())).alias("word"))
+    frequent = _Dictionary(spark, hard, bpe, dictionary, longest)
+    rows = rows.withColumn("_d", frequent.constant)
+    ids_of = lambda w: _let(bpe.id_of_whole(w, F.col("_c")), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(frequent.ids(w, F.col("_d"))))
+    rows = settle(rows.select("_id", "_w", F.transform("_w", ids_of).alias("_p")))
+    done = ~F.exists("_p", lambda p: p.isNull())
+    parts = F.zip_with("_w", "_p", lambda w, p: F.struct(p.alias("ids"), F.when(p.isNull(), w).alias("word")))
+    rows = cut(rows.select("_id", F.monotonically_increasing_id().alias("_row"), F.when(done, F.flatten("_p")).alias("ids"), F.when(~done, parts).alias("_parts")))
+    whole = rows.where("ids is not null").select(F.col("_id").alias(id_col), "ids")
+    rest = rows.where("ids is null").select("_id", "_row", F.posexplode("_parts").alias("pos", "p")).select("_id", "_row", "pos", "p.ids", "p.word")
+    open_words = rest.where("word is not null")
+    folded = open_words.select("word").distinct().withColumn("_c", bpe.merges).select("word", bpe.ids_of_word(F.col("word"), F.col("_c")).alias("ids"))
+    both = rest.where("word is null").drop("word").unionByName(open_words.drop("ids").join(folded, "word").drop("word"))
+    together = both.groupBy("_row", "_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_parts"))
+    return whole.unionByName(together.select(F.col("_id").alias(id_col), F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids")))
 
 
 def decoded(ids: DataFrame, bpe: ByteBpe, ids_col: str = "ids", name: str = "text") -> DataFrame:
