@@ -175,3 +175,12 @@ def test_stream_is_replay(spark):
 
     a, b = (sorted(map(tuple, live.QUERIES[n](spark, SMALL).collect())) for n in ("fsm_replay", "fsm_stream"))
     assert a and a == b
+
+
+def test_live_pose():
+    e = lambda i, ms, kind, x=0.0, **m: {"id": i, "ms": ms, "kind": kind, "x": x, "c": 0.0, "north": 0.0, "east": 0.0} | m
+    out, _ = run(machines.live(), [e(0, 0, "fix", 3.0, north=10.0), e(1, 0, "move", 10.0), e(2, 5000, "tunnel", 1.0), *[e(3 + i, 6000 + i, "fix", 1.0, north=900.0) for i in range(5)], e(8, 10000, "tunnel", 0.0), e(9, 20000, "move", 0.0)])
+    assert out[0]["verdict"] == "accepted" and out[0]["north"] == pytest.approx(0.0)  # absorbed whole, shown where it was
+    assert out[2]["north"] == pytest.approx(60.0) and out[2]["fresh"]
+    assert [r["verdict"] for r in out[3:8]] == ["rejected"] * 4 + ["forced"] and out[8]["outage_s"] == 5.0 and out[8]["n_forced"] == 1
+    assert out[8]["outage_m"] == pytest.approx(50.0) and not out[9]["fresh"] and out[9]["sigma"] > out[8]["sigma"]

@@ -110,3 +110,13 @@ def route_progress(spark: SparkSession, sf: str) -> DataFrame:
     handler = machines.route(points, points[1:], 1200.0)
     e = events(spark, sf).select("seq", F.col("event_id").alias("id"), "sample_idx", "lat", "lon", (F.col("k") / 5.0).alias("x"))
     return replay(e, "seq", ["sample_idx"], handler, "seq bigint, id bigint, step bigint, left_m double, eta_s bigint, off_route boolean, arrived boolean")
+
+
+@query()
+def live_pose(spark: SparkSession, sf: str) -> DataFrame:
+    """The shown position after each event, with verdicts on fixes and the summary of each suppressed stretch."""
+    kind, v, k = F.col("kind"), F.col("v"), F.col("k")
+    told = F.when(kind == "view", "fix").when(kind == "signup", "tunnel").otherwise("move")
+    x = F.when(kind == "view", k / 10.0).when(kind == "signup", F.when(k > 40, 1.0).otherwise(0.0)).otherwise(v / 30)
+    e = events(spark, sf).select("seq", F.col("event_id").alias("id"), "sample_idx", F.floor(F.col("t_s") / 100).alias("ms"), told.alias("kind"), x.alias("x"), (k / 20.0).alias("c"), (v * 2).alias("north"), (k * 10.0).alias("east"))
+    return replay(e, "seq", ["sample_idx"], machines.live(), "seq bigint, id bigint, north double, east double, sigma double, fresh boolean, verdict string, outage_s double, outage_m double, first_m double, n_forced bigint")
