@@ -88,7 +88,7 @@ def axis_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""select event_id, round(atan2(0.5, greatest(v, 1e-6)), 6) as course_sigma, round(v * cos(k / 50.0), 6) as vn, round(v * sin(k / 50.0), 6) as ve,
-round(pow(cos(k / 50.0) * 0.5, 2) + pow(v * sin(k / 50.0) * atan2(0.5, greatest(v, 1e-6)), 2), 6) as var_n, round(case when k <= 10 then 3.0 else k end, 4) as sigma_m from ev""")
+round(pow(cos(k / 50.0) * 0.5, 2) + pow(v * sin(k / 50.0) * atan2(0.5, greatest(v, 1e-6)), 2), 6) as var_n, cast(round(case when k <= 10 then 3.0 else k end, 4) as double) as sigma_m from ev""")
 def velocity_measurement(spark: SparkSession, sf: str) -> DataFrame:
     """Course and speed as a velocity with its variance; a missing or idle accuracy counts as three metres."""
     c, s = F.col("k") / 50.0, F.atan2(F.lit(0.5), F.greatest("v", F.lit(1e-6)))
@@ -152,8 +152,8 @@ def search_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Presets and the first service's hits; the second service only where the first has none."""
     hits = table(spark, sf, "customer").where(F.col("c_name").contains("zzz")).select(F.col("c_name").alias("title"), F.lit("b").alias("src"))
     presets = table(spark, sf, "nation").where(F.col("n_name").contains("1")).select(F.col("n_name").alias("title"), F.lit("a").alias("src"))
-    none = hits.agg((F.count(F.lit(1)) == 0).alias("none"))  # one row
-    second = table(spark, sf, "supplier").where("s_suppkey < 5").join(F.broadcast(none)).where("none").select(F.col("s_name").alias("title"), F.lit("c").alias("src"))
+    none = hits.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
+    second = table(spark, sf, "supplier").where(F.col("s_suppkey") < 5).where(none).select(F.col("s_name").alias("title"), F.lit("c").alias("src"))
     return presets.unionByName(hits).unionByName(second)
 
 

@@ -82,7 +82,7 @@ _THETA = f"th as (select seq, 0 as i, 0.0::double as theta from ev group by seq
 
 
 @query(f"""with {_THETA}, m as (select unnest([1, 2, 4, 8])::bigint as m), d as (select a.seq, m.m, c.theta - 2 * b.theta + a.theta as d from th a cross join m join th b on b.seq = a.seq and b.i = a.i + m.m join th c on c.seq = a.seq and c.i = a.i + 2 * m.m)
-select seq, m * 0.1 as tau_s, count(*) as n, round(sqrt(sum(d * d) / (2 * pow(m * 0.1, 2) * count(*))), 6) as adev from d group by seq, m""")
+select seq, cast(m * 0.1 as double) as tau_s, count(*) as n, round(sqrt(sum(d * d) / (2 * pow(m * 0.1, 2) * count(*))), 6) as adev from d group by seq, m""")
 def allan_fixed_m(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping Allan deviation at fixed cluster sizes by second differences of the running integral."""
     return _allan(spark, sf, [1, 2, 4, 8]).select("seq", "tau_s", "n", r6("adev").alias("adev"))
@@ -114,7 +114,7 @@ def rw_coefficient(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("seq").agg(r6(F.exp(F.avg(F.log(F.col("adev") * F.sqrt("tau_s"))))).alias("walk"), r6(slope).alias("slope"), (F.abs(slope + 0.5) <= 0.15).alias("is_white"))
 
 
-@query(_ADEV + " select seq, round(min(adev) / 0.6643, 6) as instability, round(arg_min(tau, (adev, tau)), 6) as tau_s, arg_min(tau, (adev, tau)) = max(tau) as at_edge from c group by seq")
+@query(_ADEV + " select seq, round(min(adev) / 0.6643, 6) as instability, cast(round(arg_min(tau, (adev, tau)), 6) as double) as tau_s, arg_min(tau, (adev, tau)) = max(tau) as at_edge from c group by seq")
 def bias_instability(spark: SparkSession, sf: str) -> DataFrame:
     """The least deviation over 0.6643 with its cluster time, and whether that is the last one measured."""
     at = F.min_by("tau_s", F.struct("adev", "tau_s"))

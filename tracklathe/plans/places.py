@@ -203,7 +203,7 @@ def set_ops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""select event_id, greatest(cast(floor(v * 40 / case when k <= 0 then 8.33 else k end) as bigint), 10) as eta_s, printf('%02d:%02d:%02d', cast(floor(v * 40) as bigint) // 3600, cast(floor(v * 40) as bigint) % 3600 // 60, cast(floor(v * 40) as bigint) % 60) as hms,
-case when v * 10 < 1000 then printf('%d m', cast(floor(v * 10) as bigint)) else printf('%.1f km', round(v * 10 / 1000, 1)) end as distance, round(k * 3.6, 4) as kmh, k * 3.6 > 120 as over_limit, round(least(greatest(k * 3.6 / 160, 0), 1), 6) as gauge from ev""")
+case when v * 10 < 1000 then printf('%d m', cast(floor(v * 10) as bigint)) else printf('%.1f km', round(v * 10 / 1000, 1)) end as distance, cast(round(k * 3.6, 4) as double) as kmh, k * 3.6 > 120 as over_limit, round(least(greatest(k * 3.6 / 160, 0), 1), 6) as gauge from ev""")
 def ride_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Arrival time, elapsed time, distance and speed as a rider sees them."""
     v, k = F.col("v"), F.col("k")

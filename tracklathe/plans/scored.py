@@ -246,9 +246,11 @@ select event_id, round((v - lo) / case when hi = lo then 1 else hi - lo end, 6)
 def minmax_scale(spark: SparkSession, sf: str) -> DataFrame:
     """A scaler fitted on the training records and applied to all; a column without span is divided by 1."""
     e = events(spark, sf)
-    fit = e.where("seq % 5 <> 0").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("k").alias("klo"), F.max("k").alias("khi"))  # one row
-    span = lambda lo, hi: F.when(F.col(hi) == F.col(lo), 1.0).otherwise(F.col(hi) - F.col(lo))
-    return e.join(F.broadcast(fit)).select("event_id", r6((F.col("v") - F.col("lo")) / span("lo", "hi")).alias("v01"), r6((F.col("k") - F.col("klo")) / span("klo", "khi")).alias("k01"))
+    fit = e.where("seq % 5 <> 0").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("k").alias("klo"), F.max("k").alias("khi"))
+    e = e.withColumn("f", fit.select(F.struct("*")).scalar())
+    f = lambda c: F.col("f")[c]
+    span = lambda lo, hi: F.when(f(hi) == f(lo), 1.0).otherwise(f(hi) - f(lo))
+    return e.select("event_id", r6((F.col("v") - f("lo")) / span("lo", "hi")).alias("v01"), r6((F.col("k") - f("klo")) / span("klo", "khi")).alias("k01"))
 
 
 @query("""with e as (select seq, sample_idx, (us % 86400000000) / 1e6 - t_s as off, case when t_s <= lag(t_s) over (partition by seq order by sample_idx) then sample_idx end as stop from ev),
