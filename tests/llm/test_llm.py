@@ -114,6 +114,8 @@ def test_pairs(spark, tmp_path):
         assert got["truth_accel", i][0] == r
     assert got["truth_accel", 3] == (None, None) and ("truth_accel", 4) not in got and ("truth_accel", 6) not in got
     assert len(got) == len(accel) + 3
+    spark.createDataFrame([], RAW).write.parquet(str(tmp_path / "none"))
+    assert nearest_time.pairs(spark, str(tmp_path / "none"), str(tmp_path / "track"), anchors.where("false")).count() == 0
 
 
 # Tokens ---------------------------------------------------------------------------------------------------------------

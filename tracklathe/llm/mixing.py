@@ -85,8 +85,7 @@ def mixed(sized: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int
     extra = F.when(F.col("_left") >= F.col("_n"), 1).when(F.col("_left") <= 0, 0).otherwise((rank <= F.col("_left")).cast("int"))
     drawn = rows.withColumn("copies", F.col("passes") + extra).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
     used = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("most_copies"))
-    whole = used.agg(F.sum("tokens").alias("all"))
-    report = targets.join(used, "source", "left").crossJoin(F.broadcast(whole)).select(
+    report = targets.join(used, "source", "left").withColumn("all", F.sum("tokens").over(Window.partitionBy())).select(  # one row a target
         "source", "target_share", "max_repeats", F.lit(total_tokens).cast("bigint").alias("mix_tokens"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"),
         F.coalesce(F.try_divide(F.col("tokens"), F.col("all")), F.lit(0.0)).alias("actual_share"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
