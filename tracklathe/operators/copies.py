@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklathe.session import cut
+
 ROWS_A_BUCKET = 200_000
 
 
@@ -62,6 +64,7 @@ def copy_differences(
         return c.cast("string")
 
     content = F.to_json(F.struct(*key, *[canon(f, k, "row").alias(f) for f, k in fields.items()]), {"ignoreNullFields": "false"})
+    left, right = cut(left), cut(right)  # each listing is read and reduced once, then counted, chunked and diffed
     rows = max(left.count(), right.count())
     buckets = 2 ** math.ceil(math.log2(max(1, rows / ROWS_A_BUCKET) * 8))
     a, b = (_chunks(x, key, content, buckets, width, mask) for x in (left, right))
