@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklathe.session import table
@@ -37,11 +37,16 @@ def registry():
     return queries, sql, query
 
 
+def micros(column: str) -> Column:
+    """Microseconds since 1970 of a stamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """One row an event: its user as ``seq``, seconds since the user's first event, sample index, value, position."""
     e = table(spark, sf, "events")
     w = Window.partitionBy("user_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros("ts")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         "event_id", F.col("user_id").alias("seq"), F.col("event_type").alias("kind"), F.col("value").alias("v"), k.alias("k"), us.alias("us"),
@@ -55,5 +60,5 @@ EV = """ev as (select event_id, user_id as seq, event_type as kind, value as v,
   52.4 + (cast(json_extract_string(props, '$.k') as int) - 50) * cast(1e-4 as double) as lat, cast(-1.5 as double) + (value - 250) * cast(1e-5 as double) as lon from events)"""
 
 
-def r6(c) -> "F.Column":
+def r6(c) -> Column:
     return F.round(c, 6)

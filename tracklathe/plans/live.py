@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklathe.plans.base import events, r6, registry
+from tracklathe.plans.base import events, micros, r6, registry
 from tracklathe.streaming import machines
 from tracklathe.streaming.runner import drained, replay, stream
 
@@ -45,8 +45,7 @@ def fsm_stream(spark: SparkSession, sf: str) -> DataFrame:
         at = path.getParent().toString()
     start = raw.groupBy("user_id").agg(F.min("ts").alias("t0"))
     live = reader.parquet(at).join(start, "user_id")
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    e = live.select(F.col("user_id").alias("seq"), "event_id", F.col("event_type").alias("kind"), F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("int").alias("k"), ((us("ts") - us("t0")) / 1e6).alias("t_s"))
+    e = live.select(F.col("user_id").alias("seq"), "event_id", F.col("event_type").alias("kind"), F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("int").alias("k"), ((micros("ts") - micros("t0")) / 1e6).alias("t_s"))
     return drained(spark, stream(as_ride(e), "seq", ["ms", "event_id"], machines.tunnel(), TRANSITIONS), TRANSITIONS, "fsm")
 
 
