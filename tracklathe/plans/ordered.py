@@ -233,3 +233,35 @@ def first_of_stamp(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "raw_imu").where("stream = 'magnetometer'").select("raw_id", "sequence", "event_ns", "arrival_ns").distinct()
     w = Window.partitionBy("sequence", "event_ns").orderBy("arrival_ns", "raw_id")
     return r.withColumn("k", F.row_number().over(w)).where("k = 1").select("raw_id", "sequence", "event_ns")
+
+
+_FLAT = "sqrt(pow((la - lat) * 111320.0, 2) + pow((lo - lon) * 111320.0 * cos(radians((lat + la) / 2)), 2))"
+_HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(la - lat) / 2), 2) + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon) / 2), 2))))"
+
+
+@query(f"""with l as (select unnest(range(-5, 6)) * 2000.0 as lag_s), e as (select seq, l.lag_s, event_id, lat, lon, t_s + l.lag_s as t from ev, l where {_EPOCH}), f as (select seq, t_s, lat, lon from ev where {_FIX}),
+b as (select e.event_id, e.seq, e.lag_s, e.t, e.lat, e.lon, f.t_s as bt, f.lat as bla, f.lon as blo from e asof left join f on e.seq = f.seq and e.t >= f.t_s),
+a as (select e.event_id, e.lag_s, f.t_s as xt, f.lat as xla, f.lon as xlo from e asof left join f on e.seq = f.seq and e.t <= f.t_s),
+n as (select seq, lag_s, lat, lon, case when bt is null then xla when xt is null then bla when t - bt <= xt - t then bla else xla end as la, case when bt is null then xlo when xt is null then blo when t - bt <= xt - t then blo else xlo end as lo from b join a using (event_id, lag_s)),
+m as (select seq, lag_s, median({_FLAT}) as m from n group by seq, lag_s), best as (select seq, cast(arg_min(lag_s, (round(m, 6), lag_s)) as double) as best_lag_s from m group by seq),
+z as (select seq, count(la) as n_matched, round(median({_HAV}), 4) as median_m, round(quantile_cont({_HAV}, 0.95), 4) as p95_m, round(max({_HAV}), 4) as max_m from n where lag_s = 0 group by seq)
+select z.*, best_lag_s, n_matched >= 2 and median_m <= 400 and abs(best_lag_s) <= 4000 as usable from z join best using (seq)""")
+def alignment_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How each track lies against its fixes: matches, residuals, the best lag, and whether it can be used.
+
+    The grid of lags is searched on a plane; only the reported residuals at no lag are great-circle distances.
+    """
+    from tracklathe.functions import geo
+
+    e = events(spark, sf)
+    lags = F.explode(F.array(*[F.lit(2000.0 * i) for i in range(-5, 6)]))
+    left = e.where(is_epoch()).select("seq", "event_id", "lat", "lon", "t_s", lags.alias("lag_s")).withColumn("t", F.col("t_s") + F.col("lag_s")).drop("t_s")
+    out = asof_join(left, e.where(is_fix()).select("seq", F.col("t_s").alias("t"), "lat", "lon", F.col("event_id").alias("fid")), ["seq"], "t", "fid", "nearest", None, 2_000_000.0)
+    place = (F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    far = F.when(F.col("lag_s") == 0, geo.haversine(*place))
+    m = out.groupBy("seq", "lag_s").agg(
+        F.median(geo.flat(*place)).alias("m"), F.count("r_lat").alias("n"), F.round(F.median(far), 4).alias("median_m"), F.round(F.percentile(far, 0.95), 4).alias("p95_m"), F.round(F.max(far), 4).alias("max_m"),
+    )
+    at_none = lambda c: F.max(F.when(F.col("lag_s") == 0, F.col(c)))
+    r = m.groupBy("seq").agg(at_none("n").alias("n_matched"), at_none("median_m").alias("median_m"), at_none("p95_m").alias("p95_m"), at_none("max_m").alias("max_m"), F.min_by("lag_s", F.struct(F.round("m", 6), "lag_s")).alias("best_lag_s"))
+    return r.withColumn("usable", (F.col("n_matched") >= 2) & (F.col("median_m") <= 400) & (F.abs("best_lag_s") <= 4000))
