@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklathe.operators.blocked import previous
 from tracklathe.operators.outages import sweep
 from tracklathe.operators.temporal import asof_join, unwrapped
 from tracklathe.plans.base import LENGTHS, WARMUP, events, r6, registry
@@ -18,6 +19,11 @@ def by_seq():
     return Window.partitionBy("seq").orderBy("sample_idx")
 
 
+def block(index: str, rows: int = 4096):
+    """The block of a sample index, for operators that split a recording."""
+    return F.floor(F.col(index) / rows)
+
+
 def is_fix():
     return F.col("kind").isin("view", "click")
 
@@ -36,10 +42,9 @@ p as (select *, lag(gps_lat) over w as la, lag(gps_lon) over w as lo from f wind
 select fix_id, sequence, sample_idx from p where la is null or gps_lat <> la or gps_lon <> lo""")
 def distinct_fixes(spark: SparkSession, sf: str) -> DataFrame:
     """Fixes whose position changed against the previous positioned one; the first is kept."""
-    w = Window.partitionBy("sequence").orderBy("sample_idx", "fix_id")
     f = table(spark, sf, "gnss_fixes").where("gps_lat is not null and gps_lon is not null").select("fix_id", "sequence", "sample_idx", "gps_lat", "gps_lon").distinct()
-    f = f.withColumn("la", F.lag("gps_lat").over(w)).withColumn("lo", F.lag("gps_lon").over(w))
-    return f.where("la is null or gps_lat <> la or gps_lon <> lo").select("fix_id", "sequence", "sample_idx")
+    f = previous(f, ["sequence"], ["sample_idx", "fix_id"], block("sample_idx"), F.struct("gps_lat", "gps_lon"), "p")
+    return f.where("p is null or gps_lat <> p.gps_lat or gps_lon <> p.gps_lon").select("fix_id", "sequence", "sample_idx")
 
 
 @query("""with r as (select distinct truth_id, sequence, t_s from vehicle_track where t_s is not null),
@@ -47,8 +52,8 @@ d as (select sequence, t_s - lag(t_s) over (partition by sequence order by t_s,
 select sequence, count(*) as n, round(min(dt), 6) as min_dt, round(max(abs(dt - 0.1)), 6) as max_off, coalesce(min(dt) > 0 and max(abs(dt - 0.1)) <= 0.05, false) as uniform from d group by sequence""")
 def dt_grid_check(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each track lies on a 10 Hz grid."""
-    w = Window.partitionBy("sequence").orderBy("t_s", "truth_id")
-    d = table(spark, sf, "vehicle_track").where("t_s is not null").select("truth_id", "sequence", "t_s").distinct().withColumn("dt", F.col("t_s") - F.lag("t_s").over(w))
+    d = table(spark, sf, "vehicle_track").where("t_s is not null").select("truth_id", "sequence", "t_s").distinct()
+    d = previous(d, ["sequence"], ["t_s", "truth_id"], F.floor(F.col("t_s") / 600), F.col("t_s"), "p").withColumn("dt", F.col("t_s") - F.col("p"))
     off = F.max(F.abs(F.col("dt") - 0.1))
     return d.groupBy("sequence").agg(F.count(F.lit(1)).alias("n"), r6(F.min("dt")).alias("min_dt"), r6(off).alias("max_off"), F.coalesce((F.min("dt") > 0) & (off <= 0.05), F.lit(False)).alias("uniform"))
 
@@ -66,9 +71,8 @@ def midnight_unwrap(spark: SparkSession, sf: str) -> DataFrame:
 d as (select *, lag(t) over (partition by sequence order by sample_idx, fix_id) as p from f) select fix_id from d where p is null or t > p""")
 def monotonic_keep(spark: SparkSession, sf: str) -> DataFrame:
     """Fixes later than their immediate predecessor."""
-    w = Window.partitionBy("sequence").orderBy("sample_idx", "fix_id")
     f = table(spark, sf, "gnss_fixes").where("time_since_start_ms is not null").select("fix_id", "sequence", "sample_idx", "time_since_start_ms").distinct()
-    f = f.withColumn("p", F.lag("time_since_start_ms").over(w))
+    f = previous(f, ["sequence"], ["sample_idx", "fix_id"], block("sample_idx"), F.col("time_since_start_ms"), "p")
     return f.where("p is null or time_since_start_ms > p").select("fix_id")
 
 

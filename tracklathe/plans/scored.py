@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklathe.functions import geo
-from tracklathe.operators.blocked import ranked, tile
+from tracklathe.operators.blocked import previous, ranked, tile
 from tracklathe.operators.outages import sliding, sweep
 from tracklathe.operators.scoring import summary, window_metrics, window_steps
 from tracklathe.plans.base import LENGTHS, WARMUP, events, r6, registry
@@ -190,7 +190,7 @@ select sequence, count(*) as n_fixes, round(max(t) - min(t), 6) as span_s, round
 def cadence(spark: SparkSession, sf: str) -> DataFrame:
     """Fix count, span, median and greatest gap, and whether the cadence is 1 Hz."""
     f = table(spark, sf, "gnss_fixes").where("time_since_start_ms is not null and gps_lat is not null").select("fix_id", "sequence", (F.col("time_since_start_ms") / 1000).alias("t")).distinct()
-    f = f.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("sequence").orderBy("t", "fix_id")))
+    f = previous(f, ["sequence"], ["t", "fix_id"], F.floor(F.col("t") / 3600), F.col("t"), "p").withColumn("gap", F.col("t") - F.col("p"))
     m = F.median("gap")
     return f.groupBy("sequence").agg(
         F.count(F.lit(1)).alias("n_fixes"), r6(F.max("t") - F.min("t")).alias("span_s"), r6(m).alias("median_gap_s"), r6(F.max("gap")).alias("max_gap_s"), F.coalesce(m <= 1.5, F.lit(False)).alias("meets_1hz")

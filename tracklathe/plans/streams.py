@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklathe.functions import text
+from tracklathe.operators.blocked import previous
 from tracklathe.operators.rates import histogram_percentile, sample_hold
 from tracklathe.plans.base import events, r6, registry
 from tracklathe.plans.ordered import by_seq
@@ -17,9 +18,9 @@ _RAW = "r as (select distinct raw_id, sequence, stream, event_ns, arrival_ns, ac
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("sequence", "stream").orderBy("arrival_ns", "raw_id")
     r = table(spark, sf, "raw_imu").select("raw_id", "sequence", "stream", "event_ns", "arrival_ns", "accuracy", "v0", "v1", "v2").distinct()
-    return r.withColumn("dt", (F.col("event_ns") - F.lag("event_ns").over(w)) / 1e6).withColumn("da", (F.col("arrival_ns") - F.lag("arrival_ns").over(w)) / 1e6)
+    r = previous(r, ["sequence", "stream"], ["arrival_ns", "raw_id"], F.floor(F.col("arrival_ns") / 60_000_000_000), F.struct("event_ns", "arrival_ns"), "p")
+    return r.withColumn("dt", (F.col("event_ns") - F.col("p.event_ns")) / 1e6).withColumn("da", (F.col("arrival_ns") - F.col("p.arrival_ns")) / 1e6)
 
 
 @query(f"""with {_RAW}, m as (select sequence, stream, median(dt) as md from d where dt > 0 group by all)
