@@ -146,7 +146,7 @@ def _day(name: str, days: int) -> Column:
     return F.floor(F.unix_date(F.col(name).cast("date")) / days)
 
 
-def changes(records: DataFrame, block_days: int = 1) -> DataFrame:
+def changes(records: DataFrame, block_days: int = 8) -> DataFrame:
     """Each file against the one written before it in its feed: fields added, removed, renamed, retyped.
 
     A feed's first file has none. A label that differs only in case and white space is the same; a field without values
