@@ -120,6 +120,20 @@ def test_filter_at_rest_and_with_fixes():
     assert f.fix(f.p.copy(), 3.0) == "accepted"
 
 
+def test_windows_cover_all_after_the_warm_up():
+    rng = np.random.default_rng(4)
+    idx = [i for i in range(640) if i % 7 != 3 and not 195 <= i <= 204 and not 400 <= i < 500]  # readings are missing
+    stamps = [(i - (i % 100 == 0)) * 0.1 for i in idx]  # no time passes before some samples
+    events = [{"idx": i, "t": t, "gyro": rng.normal(0, 0.02, 3), "accel": np.array([0.05, 0.0, -9.80665]) + rng.normal(0, 0.3, 3)} for i, t in zip(idx, stamps)]
+    snaps, s = run(inertial.filter_pass(every=100, snapshots=True), events)
+    parts = [[e for e in events if e["idx"] // 100 == r["idx"] // 100 and e["idx"] >= r["idx"]] for r in snaps]
+    assert sum(map(len, parts)) == len(events) - 20 and [r["idx"] for r in snaps] == [events[20]["idx"], 100, 205, 300, 501, 600]
+    ends = [inertial.replay_window(r, part) for r, part in zip(snaps, parts)]
+    for f, after in zip(ends, snaps[1:]):  # without fixes a window ends where the next one starts
+        assert np.allclose(f.pack(), after["state"], atol=1e-9)
+    assert np.allclose(ends[-1].pack(), s["f"].pack(), atol=1e-9)
+
+
 def test_strapdown_of_a_tilt_error():
     events = [{"idx": i, "t": i * 0.1, "gyro": [0.0] * 3, "accel": [0.0, 0.0, -9.80665] if i == 0 else [0.0981, 0.0, -9.80665]} for i in range(601)]
     out, _ = run(inertial.strapdown(10), events)

@@ -138,16 +138,21 @@ def filter_pass(warmup: int = 20, every: int = 50, snapshots: bool = False, nois
     """The aided pass over a recording's samples: level on the warm-up, then predict, constrain and take fixes.
 
     Events: t (s), gyro and accel (3 numbers each), north/east/down and sigma where the sample has a fix. A row every
-    ``every`` samples; after a divergence one row says so and the rest of the recording is left.
+    ``every`` samples; after a divergence one row says so and the rest of the recording is left. With ``snapshots`` there
+    is a row for each window of ``every`` indices instead, at its first sample after the warm-up: the state up to the
+    sample before, that sample's stamp and the readings that the constraints of the window's first samples look back on.
     """
 
     def begin() -> dict:
-        return {"f": InvariantFilter(noise), "n": 0, "t": None, "g": [], "a": [], "lost": False, "fixes": 0}
+        return {"f": InvariantFilter(noise), "n": 0, "t": None, "g": [], "a": [], "lost": False, "fixes": 0, "window": None}
 
     def on(s: dict, e: dict) -> list[dict]:
         if s["lost"]:
             return []
-        f, gyro, accel = s["f"], np.asarray(e["gyro"], float), np.asarray(e["accel"], float)
+        f, gyro, accel, out = s["f"], np.asarray(e["gyro"], float), np.asarray(e["accel"], float), []
+        if snapshots and s["n"] >= warmup and e["idx"] // every != s["window"]:
+            s["window"] = e["idx"] // every
+            out = [{"idx": e["idx"], "t": s["t"], "state": f.pack(), "recent": np.concatenate([*s["g"], *s["a"]]).tolist()}]
         s["g"], s["a"] = [*s["g"], gyro][-noise.window:], [*s["a"], accel][-noise.window:]
         s["n"] += 1
         dt = 0.0 if s["t"] is None else min(max(e["t"] - s["t"], 0.0), 1.0)
@@ -155,21 +160,34 @@ def filter_pass(warmup: int = 20, every: int = 50, snapshots: bool = False, nois
         if s["n"] == warmup:
             f.level(np.mean(s["a"], axis=0))
         if s["n"] <= warmup or dt <= 0:
-            return []
+            return out
         f.predict(gyro, accel, dt)
         how = f.constrain(np.array(s["g"]), np.array(s["a"]))
         if e.get("north") is not None:
             f.fix(np.array([e["north"], e["east"], e["down"]], float), e["sigma"] if e["sigma"] and e["sigma"] > 0 else 3.0)
             s["fixes"] += 1
         s["lost"] = not f.usable()
-        if not s["lost"] and s["n"] % every:
-            return []
+        if snapshots or (not s["lost"] and s["n"] % every):
+            return out
         yaw = float(np.arctan2(f.rot[1, 0], f.rot[0, 0]))
-        return [{"idx": e["idx"], "north": float(f.p[0]), "east": float(f.p[1]), "down": float(f.p[2]), "speed": float(np.linalg.norm(f.v)), "yaw": yaw, "sigma": float(np.sqrt(max(f.cov[6, 6] + f.cov[7, 7], 0.0))), "how": "diverged" if s["lost"] else how, "fixes": s["fixes"], "state": f.pack() if snapshots else None}]
+        return [{"idx": e["idx"], "north": float(f.p[0]), "east": float(f.p[1]), "down": float(f.p[2]), "speed": float(np.linalg.norm(f.v)), "yaw": yaw, "sigma": float(np.sqrt(max(f.cov[6, 6] + f.cov[7, 7], 0.0))), "how": "diverged" if s["lost"] else how, "fixes": s["fixes"]}]
 
     return begin, on
 
 
+def replay_window(snapshot: dict, events: list[dict], noise: Noise = Noise()) -> InvariantFilter:
+    """The filter after a window's samples from its snapshot, without fixes."""
+    f, t = InvariantFilter.unpack(snapshot["state"], noise), snapshot["t"]
+    g, a = (list(x) for x in np.asarray(snapshot["recent"], float).reshape(2, -1, 3))
+    for e in events:
+        g, a = [*g, np.asarray(e["gyro"], float)][-noise.window:], [*a, np.asarray(e["accel"], float)][-noise.window:]
+        dt, t = min(max(e["t"] - t, 0.0), 1.0), e["t"]
+        if dt > 0:
+            f.predict(g[-1], a[-1], dt)
+            f.constrain(np.array(g), np.array(a))
+    return f
+
+
 def strapdown(epoch: int = 10) -> Handler:
     """Unaided integration from rest and level; position and yaw every ``epoch`` samples."""
 

@@ -17,6 +17,8 @@ from tracklathe.streaming.runner import replay
 
 QUERIES, SQL, query = registry()
 
+#: Samples' indices a replayed window.
+WINDOW = 100
 GYRO, ACCEL = ["gyro_yaw", "gyro_pitch", "gyro_roll"], ["accel_x", "accel_y", "accel_z"]
 
 
@@ -36,40 +38,37 @@ def fixes(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("sequence", "idx", n.alias("north"), e.alias("east"), F.coalesce(first("gps_altitude_m") - F.col("gps_altitude_m"), F.lit(0.0)).alias("down"), F.col("gps_accuracy_m").alias("sigma"))
 
 
-PASS = "sequence string, idx bigint, north double, east double, down double, speed double, yaw double, sigma double, how string, fixes bigint, state array<double>"
+PASS = "sequence string, idx bigint, north double, east double, down double, speed double, yaw double, sigma double, how string, fixes bigint"
+SNAPSHOT = "sequence string, idx bigint, t double, state array<double>, recent array<double>"
 
 
 @query()
 def filter_pass(spark: SparkSession, sf: str) -> DataFrame:
     """The aided filter over every recording, a row every 50 samples."""
     rows = samples(spark, sf).join(fixes(spark, sf), ["sequence", "idx"], "left")
-    return replay(rows, "sequence", ["idx"], inertial.filter_pass(), PASS).drop("state")
+    return replay(rows, "sequence", ["idx"], inertial.filter_pass(), PASS)
 
 
 @query()
 def window_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows without fixes replayed from the aided pass' snapshots, in parallel over windows."""
+    """Windows of 100 indices without fixes replayed from the aided pass' snapshots, in parallel over windows.
+
+    A window starts at its first sample after the warm-up; ``n`` counts its readings from there on.
+    """
     rows = samples(spark, sf)
-    aided = replay(rows.join(fixes(spark, sf), ["sequence", "idx"], "left"), "sequence", ["idx"], inertial.filter_pass(every=100, snapshots=True), PASS)
-    starts = aided.where("how <> 'diverged'").select("sequence", F.col("idx").alias("start"), "state", (F.floor(F.col("idx") / 100)).alias("w"))
-    inside = rows.withColumn("w", F.floor((F.col("idx") - 1) / 100))
-    keyed = lambda df: df.withColumn("key", F.concat_ws("#", "sequence", F.col("w").cast("string")))
+    aided = replay(rows.join(fixes(spark, sf), ["sequence", "idx"], "left"), "sequence", ["idx"], inertial.filter_pass(every=WINDOW, snapshots=True), SNAPSHOT)
+    keyed = lambda df: df.withColumn("key", F.concat_ws("#", "sequence", F.floor(F.col("idx") / WINDOW).cast("string")))
     schema = "sequence string, start bigint, n bigint, north double, east double, sigma double"
 
     def run(key: tuple, snap: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if snap.empty or part.empty:
+        if snap.empty:  # within the warm-up, or after a divergence
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        f, t = inertial.InvariantFilter.unpack(snap.state.iloc[0]), None
-        part = part[part.idx > snap.start.iloc[0]].sort_values("idx")
-        g, a = np.array(part.gyro.tolist()), np.array(part.accel.tolist())
-        for i, now in enumerate(part.t):
-            if t is not None and now > t:
-                f.predict(g[i], a[i], min(now - t, 1.0))
-                f.constrain(g[max(0, i - 19): i + 1], a[max(0, i - 19): i + 1])
-            t = now
-        return pd.DataFrame([{"sequence": snap.sequence.iloc[0], "start": snap.start.iloc[0], "n": len(part), "north": f.p[0], "east": f.p[1], "sigma": float(np.sqrt(max(f.cov[6, 6] + f.cov[7, 7], 0.0)))}])
-
-    return keyed(starts).groupBy("key").cogroup(keyed(inside).groupBy("key")).applyInPandas(run, schema)
+        first = snap.iloc[0]
+        part = part[part.idx >= first.idx].sort_values("idx")
+        f = inertial.replay_window(first.to_dict(), part.to_dict("records"))
+        return pd.DataFrame([{"sequence": first.sequence, "start": first.idx, "n": len(part), "north": f.p[0], "east": f.p[1], "sigma": float(np.sqrt(max(f.cov[6, 6] + f.cov[7, 7], 0.0)))}])
+
+    return keyed(aided).groupBy("key").cogroup(keyed(rows).groupBy("key")).applyInPandas(run, schema)
 
 
 @query()
