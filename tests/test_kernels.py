@@ -134,6 +134,25 @@ def test_windows_cover_all_after_the_warm_up():
     assert np.allclose(ends[-1].pack(), s["f"].pack(), atol=1e-9)
 
 
+def test_gaps_and_fixes_count_whole():
+    still, push = [0.0, 0.0, -9.80665], [0.1, 0.0, -9.80665]
+    stamps = [i * 0.1 for i in range(30)] + [12.9]  # ten seconds without a sample
+    out, _ = run(inertial.strapdown(1), [{"idx": i, "t": t, "gyro": [0.0] * 3, "accel": push if i == 30 else still} for i, t in enumerate(stamps)])
+    assert out[-1]["north"] == pytest.approx(0.5 * 0.1 * 10**2, rel=1e-6)
+    events = [{"idx": i, "t": t, "gyro": [0.0] * 3, "accel": still} for i, t in enumerate(stamps)]
+    fix = {"north": 0.5, "east": 0.0, "down": 0.0, "sigma": 3.0}
+    _, s = run(inertial.filter_pass(), [e | fix for e in events])
+    assert s["fixes"] == 31 and s["t"] == 12.9  # the warm-up's as well
+    _, plain = run(inertial.filter_pass(), events[:30])
+    _, after = run(inertial.filter_pass(), events)
+    assert after["f"].steps == plain["f"].steps + 10 and after["f"].cov[6, 6] > plain["f"].cov[6, 6]
+    blind = {"idx": 30, "t": None, "gyro": None, "accel": None}
+    same = {"idx": 30, "t": stamps[29], "gyro": [0.0] * 3, "accel": still}
+    for odd in (blind, same):
+        _, s = run(inertial.filter_pass(), [*events[:30], odd | fix])
+        assert s["fixes"] == 1 and s["f"].p[0] > 0.1 and s["n"] == 30 + (odd is same)
+
+
 def test_strapdown_of_a_tilt_error():
     events = [{"idx": i, "t": i * 0.1, "gyro": [0.0] * 3, "accel": [0.0, 0.0, -9.80665] if i == 0 else [0.0981, 0.0, -9.80665]} for i in range(601)]
     out, _ = run(inertial.strapdown(10), events)

@@ -28,10 +28,17 @@ class Noise:
     still_var: float = 0.02
     still_rate: float = 0.01
     window: int = 20
+    step: float = 1.0
     reject_most: int = 3
     start: tuple = field(default=(0.1, 0.5, 3.0, 0.02, 0.1, 0.1))
 
 
+def pieces(dt: float, most: float) -> list[float]:
+    """``dt`` in equal parts no longer than ``most``."""
+    n = max(1, int(np.ceil(dt / most - 1e-9)))
+    return [dt / n] * n
+
+
 class InvariantFilter:
     """An 18-state right-invariant filter: rotation, velocity, position, gyro bias, accelerometer bias, mount.
 
@@ -71,6 +78,11 @@ class InvariantFilter:
         if self.steps % 1000 == 0:
             self.rot = orthonormal(self.rot)
 
+    def across(self, gyro: np.ndarray, accel: np.ndarray, dt: float) -> None:
+        """The whole of a gap by one reading, in equal steps no longer than the noise's ``step``."""
+        for part in pieces(dt, self.c.step):
+            self.predict(gyro, accel, part)
+
     def update(self, z: np.ndarray, h: np.ndarray, r: np.ndarray, gate: float | None = None) -> bool:
         """Joseph update by z = estimate - measurement; false if the gate turns it down."""
         s = h @ self.cov @ h.T + r
@@ -101,6 +113,11 @@ class InvariantFilter:
         self.update(z, h, r)
         return "forced"
 
+    def hold(self, position: np.ndarray, sigma: float) -> None:
+        """Stands at a position while the attitude isn't known yet."""
+        self.p = position
+        self.cov[6:9, 6:9] = np.diag([sigma**2, sigma**2, 9 * sigma**2])
+
     def constrain(self, gyros: np.ndarray, accels: np.ndarray) -> str:
         """At rest velocity and turn rate are nothing; driving, the vehicle doesn't move sideways or up."""
         rate = gyros.mean(axis=0) - self.bg
@@ -137,40 +154,46 @@ class InvariantFilter:
 def filter_pass(warmup: int = 20, every: int = 50, snapshots: bool = False, noise: Noise = Noise()) -> Handler:
     """The aided pass over a recording's samples: level on the warm-up, then predict, constrain and take fixes.
 
-    Events: t (s), gyro and accel (3 numbers each), north/east/down and sigma where the sample has a fix. A row every
-    ``every`` samples; after a divergence one row says so and the rest of the recording is left. With ``snapshots`` there
-    is a row for each window of ``every`` indices instead, at its first sample after the warm-up: the state up to the
-    sample before, that sample's stamp and the readings that the constraints of the window's first samples look back on.
+    Events: t (s), gyro and accel (3 numbers each), north/east/down and sigma where the sample has a fix. Without a stamp
+    or a reading an event still gives its fix; with a stamp alone the last reading goes on until then. Gaps are propagated
+    whole. Until the filter is level, at the end of the warm-up, the last fix is its position.
+
+    A row every ``every`` readings; after a divergence one row says so and the rest of the recording is left. With
+    ``snapshots`` there is a row for each window of ``every`` indices instead, at its first reading after the warm-up: the
+    state up to the event before, the time it stands for and the readings that the constraints of the window's first
+    samples look back on.
     """
 
     def begin() -> dict:
-        return {"f": InvariantFilter(noise), "n": 0, "t": None, "g": [], "a": [], "lost": False, "fixes": 0, "window": None}
+        return {"f": InvariantFilter(noise), "n": 0, "t": None, "g": [], "a": [], "lost": False, "fixes": 0, "window": None, "how": "none"}
 
     def on(s: dict, e: dict) -> list[dict]:
         if s["lost"]:
             return []
-        f, gyro, accel, out = s["f"], np.asarray(e["gyro"], float), np.asarray(e["accel"], float), []
-        if snapshots and s["n"] >= warmup and e["idx"] // every != s["window"]:
+        f, out, reads = s["f"], [], e["gyro"] is not None and e["t"] is not None
+        if snapshots and reads and s["n"] >= warmup and e["idx"] // every != s["window"]:
             s["window"] = e["idx"] // every
             out = [{"idx": e["idx"], "t": s["t"], "state": f.pack(), "recent": np.concatenate([*s["g"], *s["a"]]).tolist()}]
-        s["g"], s["a"] = [*s["g"], gyro][-noise.window:], [*s["a"], accel][-noise.window:]
-        s["n"] += 1
-        dt = 0.0 if s["t"] is None else min(max(e["t"] - s["t"], 0.0), 1.0)
-        s["t"] = e["t"]
-        if s["n"] == warmup:
-            f.level(np.mean(s["a"], axis=0))
-        if s["n"] <= warmup or dt <= 0:
-            return out
-        f.predict(gyro, accel, dt)
-        how = f.constrain(np.array(s["g"]), np.array(s["a"]))
+        if reads:
+            s["g"], s["a"] = [*s["g"], np.asarray(e["gyro"], float)][-noise.window:], [*s["a"], np.asarray(e["accel"], float)][-noise.window:]
+            s["n"] += 1
+            if s["n"] == warmup:
+                f.level(np.mean(s["a"], axis=0))
+        ready = s["n"] > warmup or (s["n"] == warmup and not reads)
+        dt = 0.0 if s["t"] is None or e["t"] is None else max(e["t"] - s["t"], 0.0)
+        s["t"] = e["t"] if e["t"] is not None and (s["t"] is None or dt > 0) else s["t"]
+        if ready and dt > 0:
+            f.across(s["g"][-1], s["a"][-1], dt)
+            s["how"] = f.constrain(np.array(s["g"]), np.array(s["a"])) if reads else s["how"]
         if e.get("north") is not None:
-            f.fix(np.array([e["north"], e["east"], e["down"]], float), e["sigma"] if e["sigma"] and e["sigma"] > 0 else 3.0)
+            position, sigma = np.array([e["north"], e["east"], e["down"]], float), e["sigma"] if e["sigma"] and e["sigma"] > 0 else 3.0
+            f.fix(position, sigma) if ready else f.hold(position, sigma)
             s["fixes"] += 1
-        s["lost"] = not f.usable()
-        if snapshots or (not s["lost"] and s["n"] % every):
+        s["lost"] = ready and not f.usable()
+        if snapshots or not (s["lost"] or (reads and ready and s["n"] % every == 0)):
             return out
         yaw = float(np.arctan2(f.rot[1, 0], f.rot[0, 0]))
-        return [{"idx": e["idx"], "north": float(f.p[0]), "east": float(f.p[1]), "down": float(f.p[2]), "speed": float(np.linalg.norm(f.v)), "yaw": yaw, "sigma": float(np.sqrt(max(f.cov[6, 6] + f.cov[7, 7], 0.0))), "how": "diverged" if s["lost"] else how, "fixes": s["fixes"]}]
+        return [{"idx": e["idx"], "north": float(f.p[0]), "east": float(f.p[1]), "down": float(f.p[2]), "speed": float(np.linalg.norm(f.v)), "yaw": yaw, "sigma": float(np.sqrt(max(f.cov[6, 6] + f.cov[7, 7], 0.0))), "how": "diverged" if s["lost"] else s["how"], "fixes": s["fixes"]}]
 
     return begin, on
 
@@ -180,16 +203,18 @@ def replay_window(snapshot: dict, events: list[dict], noise: Noise = Noise()) ->
     f, t = InvariantFilter.unpack(snapshot["state"], noise), snapshot["t"]
     g, a = (list(x) for x in np.asarray(snapshot["recent"], float).reshape(2, -1, 3))
     for e in events:
-        g, a = [*g, np.asarray(e["gyro"], float)][-noise.window:], [*a, np.asarray(e["accel"], float)][-noise.window:]
-        dt, t = min(max(e["t"] - t, 0.0), 1.0), e["t"]
-        if dt > 0:
-            f.predict(g[-1], a[-1], dt)
-            f.constrain(np.array(g), np.array(a))
+        if e["gyro"] is not None:
+            g, a = [*g, np.asarray(e["gyro"], float)][-noise.window:], [*a, np.asarray(e["accel"], float)][-noise.window:]
+        if e["t"] > t:
+            f.across(g[-1], a[-1], e["t"] - t)
+            t = e["t"]
+            if e["gyro"] is not None:
+                f.constrain(np.array(g), np.array(a))
     return f
 
 
 def strapdown(epoch: int = 10) -> Handler:
-    """Unaided integration from rest and level; position and yaw every ``epoch`` samples."""
+    """Unaided integration from rest and level, gaps whole; position and yaw every ``epoch`` samples."""
 
     def begin() -> dict:
         return {"f": None, "t": None, "n": 0}
@@ -198,10 +223,10 @@ def strapdown(epoch: int = 10) -> Handler:
         if s["f"] is None:
             s["f"] = InvariantFilter()
             s["f"].level(np.asarray(e["accel"], float))
-        f, dt = s["f"], 0.0 if s["t"] is None else min(max(e["t"] - s["t"], 0.0), 1.0)
-        s["t"], s["n"] = e["t"], s["n"] + 1
-        if dt > 0:
-            f.rot, f.v, f.p = propagate(f.rot, f.v, f.p, np.asarray(e["gyro"], float), np.asarray(e["accel"], float), dt, GRAVITY)
+        f, dt = s["f"], 0.0 if s["t"] is None else max(e["t"] - s["t"], 0.0)
+        s["t"], s["n"] = e["t"] if s["t"] is None or dt > 0 else s["t"], s["n"] + 1
+        for part in pieces(dt, f.c.step) if dt > 0 else []:
+            f.rot, f.v, f.p = propagate(f.rot, f.v, f.p, np.asarray(e["gyro"], float), np.asarray(e["accel"], float), part, GRAVITY)
         if s["n"] % epoch:
             return []
         return [{"idx": e["idx"], "north": float(f.p[0]), "east": float(f.p[1]), "yaw": float(np.arctan2(f.rot[1, 0], f.rot[0, 0]))}]

@@ -38,6 +38,23 @@ def fixes(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("sequence", "idx", n.alias("north"), e.alias("east"), F.coalesce(first("gps_altitude_m") - F.col("gps_altitude_m"), F.lit(0.0)).alias("down"), F.col("gps_accuracy_m").alias("sigma"))
 
 
+def aided_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings and fixes of each recording with readings, by index; a row without a usable reading stays for its fix or stamp.
+
+    A fix at an index without a stamp gets one between its neighbours' by the index. Fixes after a recording's last stamp
+    change none of its rows and are left out.
+    """
+    rows = samples(spark, sf)
+    stamps = table(spark, sf, "imu_samples").dropna(subset=["sequence", "sample_idx", "time_since_start_ms"]).groupBy("sequence", F.col("sample_idx").alias("idx")).agg((F.min("time_since_start_ms") / 1000).alias("stamp"))
+    both = stamps.join(rows, ["sequence", "idx"], "left").join(fixes(spark, sf), ["sequence", "idx"], "full")
+    w = lambda o: Window.partitionBy("sequence").orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("stamp").isNotNull(), F.struct("idx", "stamp"))
+    both = both.withColumn("_a", F.last(at, ignorenulls=True).over(w(F.desc("idx")))).withColumn("_b", F.last(at, ignorenulls=True).over(w(F.asc("idx"))))
+    between = F.col("_a.stamp") + (F.col("_b.stamp") - F.col("_a.stamp")) * (F.col("idx") - F.col("_a.idx")) / (F.col("_b.idx") - F.col("_a.idx"))
+    both = both.where("stamp is not null or _a is not null").withColumn("read", F.col("stamp").isNotNull())
+    return both.withColumn("t", F.coalesce("t", "stamp", between)).drop("stamp", "_a", "_b")
+
+
 PASS = "sequence string, idx bigint, north double, east double, down double, speed double, yaw double, sigma double, how string, fixes bigint"
 SNAPSHOT = "sequence string, idx bigint, t double, state array<double>, recent array<double>"
 
@@ -45,8 +62,7 @@ SNAPSHOT = "sequence string, idx bigint, t double, state array<double>, recent a
 @query()
 def filter_pass(spark: SparkSession, sf: str) -> DataFrame:
     """The aided filter over every recording, a row every 50 samples."""
-    rows = samples(spark, sf).join(fixes(spark, sf), ["sequence", "idx"], "left")
-    return replay(rows, "sequence", ["idx"], inertial.filter_pass(), PASS)
+    return replay(aided_events(spark, sf), "sequence", ["idx"], inertial.filter_pass(), PASS)
 
 
 @query()
@@ -55,8 +71,8 @@ def window_replay(spark: SparkSession, sf: str) -> DataFrame:
 
     A window starts at its first sample after the warm-up; ``n`` counts its readings from there on.
     """
-    rows = samples(spark, sf)
-    aided = replay(rows.join(fixes(spark, sf), ["sequence", "idx"], "left"), "sequence", ["idx"], inertial.filter_pass(every=WINDOW, snapshots=True), SNAPSHOT)
+    rows = aided_events(spark, sf)
+    aided = replay(rows, "sequence", ["idx"], inertial.filter_pass(every=WINDOW, snapshots=True), SNAPSHOT)
     keyed = lambda df: df.withColumn("key", F.concat_ws("#", "sequence", F.floor(F.col("idx") / WINDOW).cast("string")))
     schema = "sequence string, start bigint, n bigint, north double, east double, sigma double"
 
@@ -66,9 +82,9 @@ def window_replay(spark: SparkSession, sf: str) -> DataFrame:
         first = snap.iloc[0]
         part = part[part.idx >= first.idx].sort_values("idx")
         f = inertial.replay_window(first.to_dict(), part.to_dict("records"))
-        return pd.DataFrame([{"sequence": first.sequence, "start": first.idx, "n": len(part), "north": f.p[0], "east": f.p[1], "sigma": float(np.sqrt(max(f.cov[6, 6] + f.cov[7, 7], 0.0)))}])
+        return pd.DataFrame([{"sequence": first.sequence, "start": first.idx, "n": int(part.gyro.notna().sum()), "north": f.p[0], "east": f.p[1], "sigma": float(np.sqrt(max(f.cov[6, 6] + f.cov[7, 7], 0.0)))}])
 
-    return keyed(aided).groupBy("key").cogroup(keyed(rows).groupBy("key")).applyInPandas(run, schema)
+    return keyed(aided).groupBy("key").cogroup(keyed(rows.where("read").select("sequence", "idx", "t", "gyro", "accel")).groupBy("key")).applyInPandas(run, schema)
 
 
 @query()
