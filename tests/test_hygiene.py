@@ -116,6 +116,20 @@ def test_implausible_values(spark, width):
     assert got == brute.spikes(series, lambda f, v: v >= 0)
 
 
+@pytest.mark.parametrize("phi, length", [(0.9, 6), (0.9, 20), (0.98, 20)])
+def test_implausible_runs_are_found_whole(spark, phi, length):
+    rng, x, values = random.Random(11), 0.0, []
+    for _ in range(3000):
+        x = phi * x + rng.gauss(0, 1)
+        values.append(x)
+    level = sum(values) / len(values)
+    spread = (sum((v - level) ** 2 for v in values) / len(values)) ** 0.5
+    shifted = set(range(1500, 1500 + length))
+    rows = [("t", i, "a", "gps_lat", float(i), level + 11.3 * spread + 0.3 * (v - level) if i in shifted else v, i // 700, 1.0, "x") for i, v in enumerate(values)]
+    got = implausible(spark.createDataFrame(rows, SERIES), F.lit(True), [])
+    assert {r.row_id for r in got.collect()} == shifted
+
+
 def test_implausible_without_rows_or_spread(spark):
     empty = spark.createDataFrame([], SERIES)
     assert implausible(empty, F.col("value") >= 0, []).count() == 0

@@ -27,15 +27,15 @@ def _stuck(rows: DataFrame, at_least: int) -> DataFrame:
     return rows.join(ends, [*SERIES, "block", "island"], "left").withColumn("run", F.coalesce("total", "n")).drop("_new", "island", "islands", "n", "total")
 
 
-def _moments(rows: DataFrame, keep: Column) -> DataFrame:
+def _moments(rows: DataFrame, keep: Column, ordered: bool = True) -> DataFrame:
     """Level, spread, autoregression and innovation spread of each series over the rows to keep, one row a block.
 
     Sums are taken by (series, block) first, then over a series' blocks, and come back by (series, block), so that no
-    step has a whole series as one key of rows.
+    step has a whole series as one key of rows. Without ``ordered`` the autoregression is nothing and no row is sorted.
     """
     inside = Window.partitionBy(*SERIES, "block").orderBy("at", "row_id")
     x = F.when(keep, F.col("value") - F.col("centre"))
-    before = F.last(x, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(x, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)) if ordered else F.lit(None).cast("double")
     rows = rows.withColumn("_x", x).withColumn("_p", F.when(x.isNotNull(), before))
     sums = rows.groupBy(*SERIES, "block").agg(
         F.count("_x").alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"),
@@ -50,20 +50,21 @@ def _moments(rows: DataFrame, keep: Column) -> DataFrame:
     return sums.select(*SERIES, "block").join(total, SERIES)
 
 
-def implausible(series: DataFrame, limits: Column, stuck_fields: list[str], stuck_run: int = 5, threshold: float = 8.0, shock: float = 3.5, rounds: int = 2) -> DataFrame:
+def implausible(series: DataFrame, limits: Column, stuck_fields: list[str], stuck_run: int = 5, threshold: float = 8.0, shock: float = 3.5, rounds: int = 2, most: int = 10) -> DataFrame:
     """The values of long series that can't be, that stand out, or that are stuck, with the reason.
 
     ``series`` has ``table_name, row_id, source, field_name, at, value, block`` (``block`` must not decrease along
     ``at``); ``limits`` is true for a physically possible value. Null and not-a-number values are no cases and do not
     break a run; rows of one (table, row, field) count once.
 
-    Spikes: each round fits level, spread and a first-order autoregression to the values not yet excluded. A value is an
-    additive outlier if its innovation against the last value kept exceeds ``shock`` innovation spreads; as excluded values
-    are no longer the last ones kept, the followers of a shift are tested against the level before it and are found too.
-    Of the outliers those more than ``threshold`` spreads from the level are excluded from the next fit, and those of the
-    last round are the cases: ``shift`` where the row before is one as well and lies within ``shock`` spreads, else
-    ``spike``. The first round starts from quantiles, so that large errors can't hide others. A series without spread has
-    neither. Rounds are cut by written tables, so the plan stays small.
+    Spikes: the first fit leaves out what quantiles show to be far off, so that large errors can't hide others. Each round
+    fits level, spread and a first-order autoregression to the values not left out, and leaves out of the next fit what lies
+    more than ``threshold`` spreads from the level, and every run beyond half of that whose first value jumps: its
+    innovation against the last value kept exceeds ``shock`` innovation spreads. So a long run can't hide in the spread that
+    it widens itself. Then the exact check: the cases are the values more than ``threshold`` spreads from the level of all
+    values that aren't, found by fitting until they no longer change (``most`` times at most). They are ``shift`` where the
+    row before is one as well and lies within ``shock`` spreads, else ``spike``. A series without spread has neither.
+    Rounds are cut by written tables, so the plan stays small.
     """
     clean = F.nanvl(F.col("value").cast("double"), F.lit(None))
     rows = series.select("table_name", F.coalesce("source", F.lit("")).alias("source"), "field_name", "row_id", "at", "block", clean.alias("value"), F.coalesce(limits, F.lit(False)).alias("possible"))
@@ -87,11 +88,24 @@ def implausible(series: DataFrame, limits: Column, stuck_fields: list[str], stuc
         x = F.col("value") - F.col("centre") - F.col("mean")
         last = F.last(F.when(keep, x), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
         fitted = fitted.withColumn("_x", x).withColumn("_last", F.coalesce(last, F.lit(0.0)))
-        additive = F.abs(F.col("_x") - F.col("phi") * F.col("_last")) > shock * F.col("sigma")
-        case = additive & (F.abs(F.col("_x")) > threshold * F.col("sd")) & (F.col("sd") > 0)
-        fitted = fitted.withColumn("out", F.coalesce(case, F.lit(False)))
-        beside = F.lag(F.when(F.col("out"), F.col("_x"))).over(inside)
-        fitted = fitted.withColumn("shifted", F.coalesce(F.abs(F.col("_x") - beside) <= shock * F.col("sd"), F.lit(False)))
-        rows = fitted.drop("mean", "sd", "phi", "sigma", "_x", "_last")
+        jumps = F.abs(F.col("_x") - F.col("phi") * F.col("_last")) > shock * F.col("sigma")
+        beyond = F.coalesce((F.abs(F.col("_x")) > threshold / 2 * F.col("sd")) & (F.col("sd") > 0), F.lit(False))
+        fitted = fitted.withColumn("_beyond", beyond)
+        before = F.lag("_beyond").over(inside)
+        fitted = fitted.withColumn("_run", F.sum((F.coalesce(before, F.lit(False)) != F.col("_beyond")).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        entered = F.first(F.coalesce(jumps, F.lit(False))).over(Window.partitionBy(*SERIES, "block", "_run").orderBy("at", "row_id"))
+        fitted = fitted.withColumn("out", F.col("_beyond") & ((F.abs(F.col("_x")) > threshold * F.col("sd")) | entered))
+        rows = fitted.drop("mean", "sd", "phi", "sigma", "_x", "_last", "_beyond", "_run")
+    rows = cut(rows)
+    for _ in range(most):
+        fitted = rows.join(_moments(rows, F.col("possible") & ~F.col("out"), False), [*SERIES, "block"], "left")
+        x = F.col("value") - F.col("centre") - F.col("mean")
+        case = F.coalesce((F.abs(x) > threshold * F.col("sd")) & (F.col("sd") > 0), F.lit(False))
+        fitted = cut(fitted.withColumn("_was", F.col("out")).withColumn("out", case).withColumn("_x", x).withColumn("_sd", F.col("sd")).drop("mean", "sd", "phi", "sigma"))
+        rows = fitted.drop("_was", "_x", "_sd")
+        if fitted.where(F.col("out") != F.col("_was")).isEmpty():
+            break
+    beside = F.lag(F.when(F.col("out"), F.col("_x"))).over(inside)
+    rows = fitted.withColumn("shifted", F.coalesce(F.abs(F.col("_x") - beside) <= shock * F.col("_sd"), F.lit(False)))
     reason = F.when(~F.col("possible"), "impossible").when(F.col("out") & F.col("shifted"), "shift").when(F.col("out"), "spike").when(F.col("stuck"), "stuck")
     return rows.select("table_name", "row_id", "field_name", "source", "value", reason.alias("reason")).where("reason is not null")
