@@ -204,3 +204,10 @@ def test_recurring_messages_and_long_texts(spark):
     assert {r.doc_id: r.kind for r in residue(df).collect()} == {i: "recurring" for i in range(30)} | {501: "placeholder"}
     classes = {r["mask"]: (r.n_texts, r.n_sources) for r in message_classes(df).collect()}
     assert classes["this document moved, please use your bookmarks."] == (30, 7)
+
+
+def test_long_texts_are_counted(spark):
+    long = "a template that was copied " * 400
+    df = spark.createDataFrame([(long, "a"), (long.upper(), "b"), (long + "x", "b"), ("Short 1", "a"), ("short 2", "a"), (" ", "a"), (None, "a")], "text string, source string")
+    got = sorted((r["mask"], r.n_texts, r.n_sources) for r in message_classes(df).collect())
+    assert got == [(long.strip(), 2, 2), ("short 0", 2, 1)]

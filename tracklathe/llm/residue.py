@@ -143,9 +143,13 @@ def residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def message_classes(documents: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Masked whole texts that recur, with the number of texts and sources, widest first by count: the evidence of classes.
 
-    Copies are counted by (hash, source) before they meet, so a group of copies of any size is one small row a source.
+    Copies are counted by (hash pair, length, source) before they meet, so a group of copies of any size is one small row a
+    source; texts of any length count, as the text is a value of its group and no key.
     """
-    rows = documents.where(F.col(text_col).rlike(f"[^{SPACE[1:-1]}]") & (F.length(text_col) <= 4000))
-    rows = rows.select(masked(F.col(text_col)).alias("mask"), F.lower(F.trim(F.coalesce(F.col(source_col), F.lit("")))).alias("s"))
-    by = rows.groupBy(F.xxhash64("mask").alias("hash"), "mask", "s").agg(F.count(F.lit(1)).alias("n"))
-    return by.groupBy("hash", "mask").agg(F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_sources")).where("n_texts > 1")
+    rows = documents.where(F.col(text_col).rlike(f"[^{SPACE[1:-1]}]"))
+    rows = settle(rows.select(masked(F.col(text_col)).alias("mask"), F.lower(F.trim(F.coalesce(F.col(source_col), F.lit("")))).alias("s")))
+    key = ["hash", "_other", "_length"]
+    rows = rows.select(F.xxhash64("mask").alias("hash"), F.xxhash64(F.lit(1), "mask").alias("_other"), F.length("mask").alias("_length"), "mask", "s")
+    by = rows.groupBy(*key, "s").agg(F.min("mask").alias("mask"), F.count(F.lit(1)).alias("n"))
+    wide = by.groupBy(*key).agg(F.min("mask").alias("mask"), F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_sources"))
+    return wide.where("n_texts > 1").select("hash", "mask", "n_texts", "n_sources")
