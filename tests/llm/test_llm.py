@@ -198,12 +198,17 @@ def test_residue_cases(spark):
 
 
 def test_recurring_messages_and_long_texts(spark):
-    note = "This document moved, please use your bookmarks."
-    rows = [(i, note, f"s{i % 7}") for i in range(30)] + [(100 + i, "Please see your note on the sheet example.", "one") for i in range(30)] + [(500, "The road was dry. " * 20_000, "s"), (501, "x" * 50_000 + " {{ stem }}", None)]
+    """A sentence that is not terse counts only if it recurs in different short texts of several sources, never in prose."""
+    note, told, frame = "Our server was put to sleep; wake it from the panel", "The server was put to sleep; the crew went on with the paper list", "Panel | Start | Leave"
+    rows = [(i, f"Sheet {chr(97 + i % 26)}{chr(97 + i // 26)}\n{note}\n{frame}", f"s{i % 7}") for i in range(30)]
+    prose = "The road was dry. " + " ".join(f"We passed the {w} gate twice." for w in ("north", "south", "east", "west", "upper", "lower"))
+    rows += [(100 + i, f"{told}. {prose} Day {chr(97 + i)}.", f"s{i % 7}") for i in range(26)] + [(200 + i, f"{told}.", "s1") for i in range(30)]
+    rows += [(300, f"Notes on Ab1 {note}", "s"), (500, "The road was dry. " * 20_000, "s"), (501, "x" * 50_000 + " {{ stem }}", None), (502, "The road was dry.\n" + "text goes here. " * 30_000, None), (None, note, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert {r.doc_id: r.kind for r in residue(df).collect()} == {i: "recurring" for i in range(30)} | {501: "placeholder"}
-    classes = {r["mask"]: (r.n_texts, r.n_sources) for r in message_classes(df).collect()}
-    assert classes["this document moved, please use your bookmarks."] == (30, 7)
+    got = {r.doc_id: r.kind for r in residue(df).collect()}
+    assert got == {i: "error" for i in range(30)} | {300: "error", 501: "placeholder", 502: "filler"}
+    few = spark.createDataFrame([r for r in rows if r[0] is not None and r[0] < 3], "doc_id long, text string, source string")
+    assert residue(few).count() == 0
 
 
 def test_long_texts_are_counted(spark):

@@ -25,119 +25,163 @@ PLACEHOLDERS = [
     r"(?<![\w_])_{3,8}(?![\w_])",
     r"(?<!\w)XX\.X(?!\w)",
     rf"\[\[{_NAME}\]\]",
-    r"(?i)\[(?:insert|your|tbd:?|todo:?|enter|add|pon aquí|à compléter ?:?) [^\]\n]{1,40}\]",
-    r"(?i)\[[^\]\n]{1,40} (?:einsetzen|eintragen|here|goes here)\]",
+    r"(?i)\[(?:insert|your|tbd:?|todo:?|enter|add|pon aquí|à compléter ?:?) [^\]\n]++\]",
+    r"(?i)\[[^\]\n]+ (?:einsetzen|eintragen|here|goes here)\]",
     r"(?<![\w\]])\[[A-Za-z_.]{3,}(?: [A-Za-z_.]+)?\](?![\w(\[])",
-    r"(?i)\((?:fill in|insert|your) [A-Za-z_. ]{1,40}\)",
-    r"(?i)<(?:insert |your )?[a-z_. ]{2,40}? (?:goes )?here>",
+    r"(?i)\((?:fill in|insert|your) [A-Za-z_. ]++\)",
+    r"(?i)<(?:insert |your )?[a-z_. ]{2,}? (?:goes )?here>",
     r"<(?!/|(?:b|i|u|s|p|a|br|hr|h[1-6]|em|li|ol|ul|td|th|tr|dl|dt|dd|kbd|pre|sub|sup|div|var|code|span|html|head|body|link|meta|table|title|script|strong|noscript|img|input|form|label|button)\b)[A-Za-z][A-Za-z_.]*(?: [A-Za-z_.]+)?>",
 ]
-# Whole sentences of error pages and refusals, after masking (numbers are 0, lower case, single blanks).
-ERRORS = [
-    r"(?:error|http|fehler|erreur|त्रुटि)? ?0 ?[-:–]? ?(?:page )?not found", r"0 ?- ?bad gateway", r"bad gateway", r"(?:http )?(?:error|http) 0(?! ?:)",
-    r"(?:error|fehler|erreur) 0 ?: (?:no se encontró la página|die seite wurde nicht gefunden|page introuvable|la page est introuvable)", r"त्रुटि 0 ?: पृष्ठ नहीं मिला", r"エラー ?0 ?:? ?ページが見つかりません",
-    r"(?:we )?could not load this (?:note|page)", r"no route matches this address", r"access to this page is denied", r"accès refusé", r"acceso denegado", r"zugriff verweigert", r"access denied",
-    r"your session has expired", r"sign in again to continue", r"service (?:is )?temporarily unavailable(?: ?\(0\))?", r"internal server error", r"(?:0 )?forbidden", r"page not found",
-    r"too many requests,? slow down and retry in 0 seconds", r"the upstream server took too long to answer", r"the page you asked for could not be found", r"this (?:document|page|note) has been removed or is private",
-    r"traceback: render_note failed at line 0, template missing", r"something went wrong", r"please check the address for typing mistakes", r"you do not have permission to (?:view|open) this page", r"(?:0 )?gateway time-?out",
-    r"checking your connection before you continue", r"database connection failed", r"contact the administrator", r"oops!? ?something (?:broke|went wrong) on our side", r"oops!?", r"the server (?:is|was) (?:busy|down)(?: for maintenance)?",
-]
-# Frames around such pages.
-FRAMES = [
-    r"home \| drives \| maps \| sign in", r"nginx-like gateway / node 0", r"go back to the start page", r"try again later", r"if this keeps happening write to the site owner", r"trace 0(?:-0)?", r"request(?: id)? 0", r"reference 0",
-    r"retour à l'accueil", r"volver al inicio", r"zurück zur startseite", r"drive viewer",
-]
-# Notices that scripts are needed.
-SCRIPTS = [
-    r"bitte aktivieren sie javascript,? um fortzufahren", r"javascript is disabled in your browser", r"please enable javascript to view this page", r"activa javascript para ver el mapa", r"loading(?:…|\.\.\.) if nothing happens,? check that scripts are not blocked",
-    r"we detected that client-side scripting is turned off", r"veuillez activer javascript pour continuer", r"to use the drive viewer,? switch on javascript in the settings of your browser", r"turn them on and reload", r"you need to allow scripts for the map to load",
-    r"this app needs scripts to run", r"कृपया जावास्क्रिप्ट चालू करें", r"javascriptを有効にしてください", r"enable cookies and js,? then refresh", r"your browser does not support the features this viewer requires",
-    r"(?:please )?(?:enable|turn on|switch on|allow|activate) (?:javascript|scripts)(?: (?:to|in|for|and) [a-z ]{1,40})?", r"(?:this|the) (?:site|page|app|viewer) (?:needs|requires) (?:javascript|scripts)(?: to [a-z ]{1,20})?",
-]
-# Filler sentences and keyboard filler.
-FILLER = [
-    r"placeholder paragraph,? replace before publishing", r"(?:blah ){2,}blah", r"(?:blah ?){3,}", r"this is sample text and will be replaced", r"hier steht ein blindtext,? der später ersetzt wird", r"text goes here", r"your (?:description|text|title) here", r"content coming soon",
-    r"यहाँ नमूना पाठ है", r"ここにサンプルの文章が入ります", r"texto de relleno,? sustituir luego", r"texte d'exemple à remplacer", r"xxx xxx xxxx", r"test test test", r"asdf asdf jkl jkl", r"abc abc abc 0 0",
-]
-# Syllables of mock Latin; words made of nothing else count as filler beside "lorem ipsum".
-SYLLABLES = "ad ali am bo cin ci com con co dol do ea eius eli er es ex iam in lam la lit lo mag mi mo na nis nos pis por qua quis rem re sec sed se sit sum ip ta tem te tru tur ul ut ven ve"
-# Titles of a document by themselves, after masking.
-TITLES = ["notes on 0", "0 0", "bench check 0", "drive report [a-z]+", "what went wrong at [a-z]+", "re drift near [a-z]+", "allan run on 0"]
-# A word or phrase of every message above; only texts with one of them are masked in full.
-HINTS = r"(?i)script|bad gateway|not found|gefunden|introuvable|encontró|पृष्ठ|ページ|load this|no route|denied|denegado|refusé|verweigert|expired|sign in|unavailable|server|forbidden|too many requests|could not be found|has been removed|traceback|wrong|typing mistakes|permission|time-?out|error|fehler|erreur|त्रुटि|エラー|connection|oops|जावा|cookies|browser|placeholder|blah|sample text|blindtext|goes here|(?:description|title|text) here|coming soon|नमूना|サンプル|relleno|exemple|xxx|test test|asdf|abc abc|lorem"
-SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# Stems by which a message of a site speaks, in the corpus' six languages; words and word parts, no sentences.
+STEMS = {
+    "script": r"(?<!\p{L})(?:java ?script|scripts?\b|scripting|client-side scripting|js\b|cookies\b|your browser)|ジャバスクリプト|javascript|जावास्क्रिप्ट",
+    "filler": r"(?<!\p{L})(?:placeholder|blah\b|sample text|blindtext|platzhalter|(?:text|title|description|content) (?:goes )?here\b|coming soon|relleno\b|texte d'exemple|lorem,? ipsum)|नमूना|サンプル|⁂",
+    "error": (
+        r"(?<!\p{L})(?:error\b|fehler\b|erreur\b|http\b|not found|(?:not|cannot|can't) (?:be )?(?:found|load|open|display)|could not|no se encontró|introuvable|nicht gefunden|denied|denegado|refusé|verweigert|forbidden|"
+        r"unauthori[sz]ed|expired|sign in|log ?in again|unavailable|(?:internal |upstream |the )?server\b|gateway|too many requests|try again|no route matches|(?:removed|moved) or|is private|went wrong|something broke|oops\b|traceback|permission|"
+        r"time-?d? ?out|took too long|connection|administrator|maintenance)|त्रुटि|エラー|見つかりません"
+    ),
+}
+KINDS = list(STEMS)
+# The syllables of the well-known mock Latin passage.
+SYLLABLES = "ad ali am aut bo cin ci com con co dol do ea eius eli er es ex iam in lam la lit lo mag mi mo na nis nos pis por qua quis rem re sec sed se sit sum ip ta tem te tru tur ul ut ven ve"
+SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Words by which a sentence speaks about placeholders or code.
 TALK = r"formatter|parser|help text|argument name|exporter|report generator|copy the line"
+#: What a sentence that quotes or reports has and a site's message has not; it only matters for sentences that don't recur.
+REPORT = r"[\"“”„«»`;]|\b(?:was|were|had|said|used|cost|kept|this week|i|our (?!side)|lab|war|haben|était|venait|venía|fue)\b|था|थी|でした"
+#: A token said over and over, as in keyboard filler.
+STUTTER = r"(?<![\p{L}\p{N}])(?:(\p{L}+)(?: \1\p{L}?){2,}+|(\p{L}+) \2(?= (\p{L}+|0) \3(?![\p{L}\p{N}])))(?: (\p{L}+|0)(?: \4)++)*+(?![\p{L}\p{N}])"
 
 
 def masked(text: Column) -> Column:
-    """Lower case, tags and markup off, addresses, dates and words with a digit as 0, single blanks."""
-    t = F.regexp_replace(text, r"<[^<>]{1,60}>", " ")
-    t = F.lower(F.regexp_replace(t, SPACE + "+", " "))
-    t = F.regexp_replace(t, r"https?://\S+|[\w.+-]{1,64}@[\w-]+\.[\w.]+", "0")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(?:unit-)?\p{L}*+\p{Nd}[\p{L}\p{N}]*+(?:[-.,:]\p{L}*+\p{Nd}[\p{L}\p{N}]*+)*+", "0")
-    return F.trim(F.regexp_replace(t, r"^[#*>\-\s]+| {2,}", " "))
+    """Lower case, tags as line ends, addresses, dates and words with a digit as 0, single blanks; lines stay."""
+    t = F.regexp_replace(text, r"<[^<>\n]++>", "\n")
+    t = F.lower(F.regexp_replace(t, r"[\u0085\u2028\u2029\x0b\x0c]|\r\n?", "\n"))
+    t = F.regexp_replace(t, rf"[{SPACE}&&[^\n]]++", " ")
+    t = F.regexp_replace(t, r"https?://\S++|(?<![\w.+-])[\w.+-]++@[\w-]++\.[\w.]++", "0")
+    return F.regexp_replace(t, r"(?<![\p{L}\p{N}])(?:unit-)?\p{L}*+\p{Nd}[\p{L}\p{N}]*+(?:[-.,:]\p{L}*+\p{Nd}[\p{L}\p{N}]*+)*+", "0")
+
+
+def sentences(mask: Column) -> Column:
+    """The masked text's sentences and lines; stutters and mock Latin are sentences ``⁂`` of their own.
+
+    A sentence is mock Latin if three words in five are made of nothing but that passage's syllables.
+    """
+    t = F.regexp_replace(mask, r"(?m)(^|[.!?:。।] ?)lorem,? ipsum[^\n]*+", "$1\n⁂\n")
+    t = F.regexp_replace(t, STUTTER, "\n⁂\n")
+    parts = F.split(t, r"\n|(?<=[.!?…]) |(?<=[。।])")
+    parts = F.transform(parts, lambda p: F.regexp_replace(p, r"^[^\p{L}\p{M}\p{N}⁂]++|[^\p{L}\p{M}\p{N}⁂]++$", ""))
+    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(SYLLABLES.split())})+(?![\p{{L}}\p{{N}}])"
+    mock = lambda p: (F.size(F.split(p, " ")) > 1) & (F.regexp_count(p, F.lit(word)) >= 0.6 * F.size(F.split(p, " ")))
+    return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.when(mock(p), "⁂").otherwise(p)))
 
 
 def prose(text: Column) -> Column:
     """The text without code fences, inline code, quotations, and sentences that speak about placeholders."""
     t = F.regexp_replace(text, r"(?s)```.*?(?:```|$)", " ")
-    t = F.regexp_replace(t, r"`[^`\n]{0,200}`", " ")
-    t = F.regexp_replace(t, r"(?U)[  -​　]", " ")
+    t = F.regexp_replace(t, r"`[^`\n]*+`", " ")
+    t = F.regexp_replace(t, r"[\u00a0\u2000-\u200b\u202f\u3000]", " ")
     t = F.regexp_replace(t, r" {2,}", " ")
-    t = F.regexp_replace(t, r"\"[^\"\n]{0,200}\"", " ")
-    return F.regexp_replace(t, rf"(?i)[^.!?\n]*\b(?:{TALK})\b[^.!?\n]*", " ")
+    t = F.regexp_replace(t, r"\"[^\"\n]*+\"", " ")
+    return F.regexp_replace(t, rf"(?i)(?<![^.!?\n])[^.!?\n]*?\b(?:{TALK})\b[^.!?\n]*+", " ")
 
 
 def _any(patterns: list[str]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", wide_docs: int = 20, wide_sources: int = 5) -> DataFrame:
-    """Every text that is residue, with its kind: ``placeholder``, ``filler``, ``error``, ``script`` or ``recurring``.
+def _words(sentence: Column) -> Column:
+    """Words of a sentence; where blanks are rare, every eight letters count as one."""
+    return F.greatest(F.size(F.split(sentence, " ")), (F.length(sentence) / 8).cast("int"))
+
+
+def _kind_of(sentence: Column) -> Column:
+    kind = F
+    for i, k in enumerate(KINDS):
+        kind = kind.when(sentence.rlike(STEMS[k]), F.lit(i + 1))
+    return kind.otherwise(F.lit(0))
 
-    A placeholder counts anywhere in prose outside code, quotations and sentences about placeholders. Messages count if
-    nothing but a title or page frame is left when they are taken out of the masked text. Short texts that nothing is
-    taken out of are grouped by their exact masked hash; a group in ``wide_docs`` texts and ``wide_sources`` sources that
-    addresses the reader like a site message is ``recurring``. Null, empty and blank texts are never residue; one row an
-    id, whatever repeated rows there are; a null source is one source.
 
-    All phrase work happens in the row; only short candidates are shuffled, as hash, source and id.
+def _sentences(documents: DataFrame, id_col: str, text_col: str, source_col: str, company: int, drop: int) -> DataFrame:
+    """One row a text: its id, whether it holds a placeholder, and its distinct masked sentences as numbers.
+
+    A sentence has its hash, words, kind by its stems (0 none), ``near`` (whether the other sentences without a stem have at
+    most ``company`` words) and ``terse`` (short and not reporting). ``tails`` are the hashes of what is left of a sentence with a
+    stem when up to ``drop`` leading words are taken off, for messages that stand behind a title on its line.
     """
-    kinds = {"error": ERRORS, "script": SCRIPTS, "filler": FILLER}
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lower(F.trim(F.coalesce(F.col(source_col), F.lit("")))).alias("_source"))
-    rows = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull()).where(F.col("_text").rlike(f"[^{SPACE[1:-1]}]"))
+    rows = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull()).where(F.col("_text").rlike(f"[^{SPACE}]"))
     sign = r"[{<«@\[]|%[s(A-Za-z]|\$[A-Za-z]|__|XX\.X|(?i)\((?:fill|insert|your)"
-    rows = rows.withColumn("_holder", F.col("_text").rlike(sign) & prose(F.col("_text")).rlike(_any(PLACEHOLDERS)))
-    rows = rows.withColumn("_mask", F.when(F.col("_text").rlike(HINTS) | (F.length("_text") <= 300), masked(F.col("_text"))))
-    latin = F.col("_mask").rlike(r"lorem,? ipsum")
-    words = rf"(?<!\p{{L}})(?:{'|'.join(SYLLABLES.split())})+(?!\p{{L}})"
-    mock = F.regexp_replace(F.regexp_extract("_mask", r"lorem,? ipsum.*", 0), words, " ⁂ ")
-    left = F.when(latin, F.concat(F.regexp_extract("_mask", r"^(.*?)lorem,? ipsum", 1), mock)).otherwise(F.col("_mask"))
-    left = F.regexp_replace(left, _any([p for ps in kinds.values() for p in ps]), " ⁂ ")
-    rows = rows.withColumn("_left", left)
-    bare = F.trim(F.regexp_replace(F.regexp_replace("_left", _any(FRAMES), " ¤ "), r"[^\p{L}\p{M}\p{N}⁂¤]+", " "))
-    framed = bare.contains("¤")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, "¤", " "), " {2,}", " "))
-    # besides messages and frames only a title may stand: a known one, once or twice, or up to five words in front
-    rest = F.regexp_replace(bare, rf"^(?:{_any(TITLES)} ?)+(?=⁂)|^(?:[^ ⁂]+ ){{1,5}}(?=⁂)|⁂", "")
-    # a page frame around one short sentence makes the sentence a message, whatever it says
-    lone = framed & (F.size(F.split(F.regexp_replace(F.trim(rest), rf"^(?:{_any(TITLES)} ?)+", ""), " ")) <= 14)
-    rows = rows.withColumn("_message", F.coalesce((F.col("_left").contains("⁂") & (F.trim(rest) == "")) | lone, F.lit(False))).withColumn("_lone", F.coalesce(lone & ~F.col("_left").contains("⁂"), F.lit(False)))
-    kind = F.when(F.col("_holder"), "placeholder").when(F.col("_message") & (latin | F.col("_mask").rlike(_any(FILLER))), "filler")
-    kind = kind.when(F.col("_message") & F.col("_mask").rlike(_any(SCRIPTS)), "script").when(F.col("_message"), "error")
-    site = r"\b(?:please|your|this (?:page|site|document|app)|try|sign in|browser|reload|refresh|server|denied|unavailable|not found)\b"
-    talk = r"\b(?:we|our|us|i|was|were|this week|lab|drive|0 hz|percent|sheet|example|line)\b|`"
-    rows = settle(rows.select("_id", "_source", "_mask", kind.alias("kind")))
-    loose = F.col("kind").isNull() & (F.length("_mask") <= 200) & F.col("_mask").rlike(site) & ~F.col("_mask").rlike(talk)
-    # the texts are gone through once; what is kept of them is small
-    rows = cut(rows.where(F.col("kind").isNotNull() | loose).select("_id", "_source", "kind", F.when(F.col("kind").isNull(), F.col("_mask")).alias("_mask")))
-    asked = rows.where("kind is null").select("_id", "_source", F.xxhash64("_mask").alias("_h"), "_mask")
-    wide = asked.groupBy("_h", "_mask", "_source").agg(F.count(F.lit(1)).alias("n")).groupBy("_h", "_mask").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources"))
-    wide = wide.where((F.col("n") >= wide_docs) & (F.col("sources") >= wide_sources)).select("_h", "_mask")
-    more = asked.join(wide, ["_h", "_mask"], "left_semi").select("_id", F.lit("recurring").alias("kind"))
-    known = rows.where("kind is not null").select("_id", "kind")
-    return known.unionByName(more).groupBy(F.col("_id").alias(id_col)).agg(F.min("kind").alias("kind"))
+    holder = F.when(F.col("_text").rlike(sign), prose(F.col("_text")).rlike(r"(?=[{<$#%@_X\[(«])" + _any(PLACEHOLDERS))).otherwise(False)
+    rows = settle(rows.select("_id", "_source", holder.alias("_holder"), sentences(masked(F.col("_text"))).alias("_s")))
+    each = F.transform("_s", lambda s: F.struct(F.xxhash64(s).alias("h"), _words(s).alias("w"), _kind_of(s).alias("k"), s.alias("s")))
+    rows = settle(rows.select("_id", "_source", "_holder", F.xxhash64(F.array_join("_s", "\n")).alias("_doc"), each.alias("_s")))
+    plain = F.aggregate("_s", F.lit(0), lambda n, x: n + F.when(x["k"] == 0, x["w"]).otherwise(0))
+
+    def tails(x: Column) -> Column:
+        words = F.split(x["s"], " ")
+        return F.transform(F.sequence(F.lit(1), F.least(F.size(words) - 1, F.lit(drop))), lambda n: F.xxhash64(F.array_join(F.slice(words, n + 1, F.size(words)), " ")))
+
+    def number(x: Column) -> Column:
+        terse = (x["k"] > 0) & (x["w"] <= 14) & ((x["s"] == "⁂") | ~x["s"].rlike(REPORT))
+        return F.struct(
+            x["h"], x["w"], x["k"], (F.col("_plain") - F.when(x["k"] == 0, x["w"]).otherwise(0) <= company).alias("near"), terse.alias("terse"),
+            F.when((x["k"] > 0) & (x["w"] > 1), tails(x)).otherwise(F.array().cast("array<bigint>")).alias("tails"),
+        )
+
+    return rows.withColumn("_plain", plain).select("_id", "_source", "_holder", "_doc", F.transform("_s", number).alias("_s"))
+
+
+def _messages(rows: DataFrame, wide_docs: int, wide_sources: int, stray: float) -> DataFrame:
+    """The sentences, by hash, that stand as messages: (``h``, ``k``, ``wide``).
+
+    Exact hashes are grouped over all texts and sources in one partly combined aggregate of numbers. A wide group stands
+    in at least ``wide_docs`` different texts (copies of a text are one) of ``wide_sources`` sources, told by bits of their
+    hashes, and keeps to itself: of its texts at most ``stray`` have more ordinary text beside it. Wide groups with a stem
+    are messages of its kind, those without are frames (``k`` 0). A group that isn't wide is a message only if it has a
+    stem, never stands beside ordinary text and is terse.
+    """
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(63)).cast("int"))
+    each = rows.select(F.explode("_s").alias("s"), bit(F.col("_doc")).alias("d"), bit(F.xxhash64("_source")).alias("r"))
+    groups = each.groupBy("s.h").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("s.near")).alias("far"), F.bit_or("d").alias("d"), F.bit_or("r").alias("r"), F.max("s.k").alias("k"), F.bool_and("s.terse").alias("terse"),
+    )
+    wide = (F.bit_count("d") >= wide_docs) & (F.bit_count("r") >= wide_sources) & (F.col("far") <= F.col("n") * stray)
+    return groups.select("h", "k", wide.alias("wide"), "terse", "far").where(F.col("wide") | ((F.col("k") > 0) & F.col("terse") & (F.col("far") == 0))).select("h", "k", "wide")
+
+
+def residue(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    wide_docs: int = 6, wide_sources: int = 3, company: int = 24, title: int = 8, stray: float = 0.05,
+) -> DataFrame:
+    """Every text that is residue, with its kind: ``placeholder``, ``script``, ``filler`` or ``error``.
+
+    Texts of any length and language are masked and cut into sentences, whose exact hashes are grouped across all texts and
+    sources. Sentences that recur widely without ever standing in ordinary prose of more than ``company`` words are a site's
+    messages and page frames; the kind of a message comes from generic stems. Sentences that don't recur widely count only
+    if they have a stem, are terse, report nothing and never stand in prose. A text is residue if it has a message and, all
+    messages and frames taken off, at most ``title`` words are left. A placeholder counts anywhere in prose outside code,
+    quotations and sentences about placeholders. Null, empty and blank texts are never residue; one row an id, whatever
+    repeated rows there are; null ids have no row; a null source is one source; other columns are ignored.
+
+    The texts are gone through once; from then on only numbers travel. Only texts with a stem are looked up again.
+    """
+    rows = cut(_sentences(documents, id_col, text_col, source_col, company, title))
+    messages = _messages(rows, wide_docs, wide_sources, stray)
+    asked = rows.where(~F.col("_holder") & F.exists("_s", lambda s: s["k"] > 0)).withColumn("_row", F.monotonically_increasing_id()).select("_id", "_row", F.posexplode("_s").alias("at", "s"))
+    whole = F.array(F.struct(F.col("s.h").alias("h"), F.lit(0).alias("off")))
+    tails = F.transform("s.tails", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("off")))
+    looked = asked.select("_id", "_row", "at", F.col("s.w").alias("w"), F.explode(F.concat(whole, tails)).alias("c")).select("_id", "_row", "at", "w", "c.*")
+    looked = looked.join(messages, "h", "left")
+    hit = F.when(F.col("k").isNotNull() & (F.col("wide") | (F.col("off") == 0)) & ((F.col("off") == 0) | (F.col("k") > 0)), F.struct((-F.col("off")).alias("off"), F.col("k")))
+    best = looked.groupBy("_id", "_row", "at").agg(F.max(hit).alias("hit"), F.max("w").alias("w"))
+    left = F.coalesce(-F.col("hit.off"), F.col("w"))
+    judged = best.groupBy("_id", "_row").agg(F.sum(left).alias("left"), F.max("hit.k").alias("most"), F.min(F.when(F.col("hit.k") > 0, F.col("hit.k"))).alias("k"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("k"))
+    found = judged.where((F.col("most") > 0) & (F.col("left") <= title)).select("_id", kind.alias("kind"))
+    holders = rows.where("_holder").select("_id", F.lit("placeholder").alias("kind"))
+    return holders.unionByName(found).groupBy(F.col("_id").alias(id_col)).agg(F.max("kind").alias("kind"))
 
 
 def message_classes(documents: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -146,8 +190,9 @@ def message_classes(documents: DataFrame, text_col: str = "text", source_col: st
     Copies are counted by (hash pair, length, source) before they meet, so a group of copies of any size is one small row a
     source; texts of any length count, as the text is a value of its group and no key.
     """
-    rows = documents.where(F.col(text_col).rlike(f"[^{SPACE[1:-1]}]"))
-    rows = settle(rows.select(masked(F.col(text_col)).alias("mask"), F.lower(F.trim(F.coalesce(F.col(source_col), F.lit("")))).alias("s")))
+    rows = documents.where(F.col(text_col).rlike(f"[^{SPACE}]"))
+    line = F.trim(F.regexp_replace(masked(F.col(text_col)), r"^[#*>\-\s]+|\s+", " "))
+    rows = settle(rows.select(line.alias("mask"), F.lower(F.trim(F.coalesce(F.col(source_col), F.lit("")))).alias("s")))
     key = ["hash", "_other", "_length"]
     rows = rows.select(F.xxhash64("mask").alias("hash"), F.xxhash64(F.lit(1), "mask").alias("_other"), F.length("mask").alias("_length"), "mask", "s")
     by = rows.groupBy(*key, "s").agg(F.min("mask").alias("mask"), F.count(F.lit(1)).alias("n"))
