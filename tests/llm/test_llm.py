@@ -118,6 +118,26 @@ def test_pairs(spark, tmp_path):
     assert nearest_time.pairs(spark, str(tmp_path / "none"), str(tmp_path / "track"), anchors.where("false")).count() == 0
 
 
+def test_pairs_in_many_batches(spark, tmp_path):
+    """The sides of a pair in different micro-batches, in any order of files, with a bucket unmentioned in between."""
+    a, g, rng = "accelerometer_uncalibrated", "gyroscope_uncalibrated", random.Random(5)
+    raw = [(i, f"s{i % 2}", a if i % 3 else g, rng.randrange(2 * nearest_time.BUCKET), 0, 1, 1.0, 1.0, 1.0, None, 7) for i in range(900)]
+    near = [(2000 + i, s, g, t + rng.randrange(-6_000_000, 6_000_000), 0, 1, 1.0, 1.0, 1.0, None, 7) for i, (_, s, _, t, *_) in enumerate(raw[:400])]
+    parts = [raw[:300], [(9000, "other", a, 5, 0, 1, 1.0, 1.0, 1.0, None, 7)], near, raw[300:] + raw[:50]]
+    for i, p in enumerate(parts):
+        spark.createDataFrame(p, RAW).coalesce(1).write.mode("append").parquet(str(tmp_path / "many"))
+    spark.createDataFrame([x for p in parts for x in p], RAW).coalesce(1).write.parquet(str(tmp_path / "one"))
+    track = [(i, "s0", rng.randrange(2 * nearest_time.BUCKET) / 1e9, 1.0, 1.0) for i in range(300)]
+    spark.createDataFrame(track, "truth_id long, sequence string, t_s double, lat double, lon double").repartition(3).write.parquet(str(tmp_path / "track"))
+    anchors = spark.createDataFrame([("s0", 0, 0.0)], "sequence string, anchor_event_ns long, anchor_tod_s double")
+    run = lambda name, **o: sorted(map(tuple, nearest_time.pairs(spark, str(tmp_path / name), str(tmp_path / "track"), anchors, **o).collect()), key=str)
+    whole = run("one")
+    assert run("many", a_batch={"maxFilesPerTrigger": "1"}) == whole
+    assert sum(r[3] is not None for r in whole) > 100 and len(whole) == sum(r[2] == a for r in raw) + 1 + 300
+    late = run("many", a_batch={"maxFilesPerTrigger": "1"}, lateness=1 << 60)
+    assert late == whole and spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") == spark.newSession().conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
 # Tokens ---------------------------------------------------------------------------------------------------------------
 TEXTS = [
     None, "", " ", "Hello world's 123 tests!!  \n\n\tindented", "naïve café 雨の日は雑音が　机上の約10.38倍", "अगली बार यही रास्ता", "🙂🙂 👩‍👩‍👧 x y z\u0085w", "a" * 700 + " " * 300 + "=" * 200, "I'll we've you're it's 'S 'LL don't''t",
