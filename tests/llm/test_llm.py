@@ -178,6 +178,32 @@ def test_subset_reaches_the_budget():
     assert sum(n * k for n, k in mixing.subset(big, 20_000_001).items()) == 20_000_001
 
 
+@pytest.mark.parametrize("lengths, budget, best", [({30000: 5, 50000: 5}, 100000, 100000), ({20000: 10, 33000: 10}, 99000, 99000), ({17000: 40, 23000: 40}, 230000, 230000), ({59_999: 9, 60_000: 9}, 539_990, 480_000), ({2: 3}, 5, 4), ({}, 5, 0)])
+def test_subset_of_long_lengths(lengths, budget, best):
+    take = mixing.subset(lengths, budget)
+    assert sum(n * k for n, k in take.items()) == best and all(0 <= k <= lengths[n] for n, k in take.items())
+
+
+def test_subset_of_few_long_lengths_is_exact():
+    rng = random.Random(4)
+    for _ in range(30):
+        lengths = {rng.randint(15_000, 60_000): rng.randint(1, 4) for _ in range(4)}
+        reach = {0}
+        for n, c in lengths.items():
+            reach = {r + n * k for r in reach for k in range(c + 1)}
+        budget = rng.randint(0, 400_000)
+        assert sum(n * k for n, k in mixing.subset(lengths, budget).items()) == max(r for r in reach if r <= budget)
+
+
+def test_mix_with_a_binding_cap(spark):
+    rows = [(i, "big", 10 + i % 90) for i in range(2000)] + [(3000 + i, "small", 7) for i in range(50)]
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats long")
+    drawn, report = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), targets, total_tokens=20_000)
+    told = {r.source: r for r in report.collect()}
+    assert told["small"].tokens == 700 and told["small"].most_copies == 2 and told["big"].tokens == 10_000
+    assert told["small"].actual_share == pytest.approx(700 / 10_700) and {r.copies for r in drawn.where("source = 'small'").collect()} == {2}
+
+
 def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["Big_one", " big-one ", "BIG ONE"]), rng.randint(5, 300), 1) for i in range(4000)] + [(5000 + i, "small", rng.randint(5, 30), 1) for i in range(40)] + [(6000, None, 5, 1), (6001, "other", 5, 1), (6002, "small", 0, 1), (None, "small", 9, 1)]

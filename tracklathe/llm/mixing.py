@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklathe.session import cut
 
-#: Budgets above this are first brought down by the largest lengths; the exact fit then works on the rest.
-FIT = 1 << 15
+#: Size of the first window that the exact fit works on, in units of the lengths' greatest common divisor.
+WINDOW = 1 << 12
 
 
 def source_name(source: Column) -> Column:
@@ -17,47 +20,71 @@ def source_name(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[_\s]+", "-")
 
 
+def _reached(free: list[tuple[int, int]], goal: int) -> tuple[dict[int, int], int]:
+    """How many to take of each (length, count) for the greatest sum up to the goal, and what then is short.
+
+    A bounded knapsack over reachable sums as the bits of one integer, counts split into powers of two. ``first`` keeps for
+    each sum the step that reached it first, so one walk back gives the counts.
+    """
+    mask, reach, steps, first = (1 << (goal + 1)) - 1, 1, [], np.full(goal + 1, -1, np.int32)
+    for n, count in free:
+        count, part = min(count, goal // n), 1
+        while count > 0 and not reach >> goal & 1:
+            k = min(part, count)
+            new = (reach << (n * k)) & mask & ~reach
+            if new:
+                at = np.frombuffer(new.to_bytes(goal // 8 + 1, "little"), np.uint8)
+                some = np.nonzero(at)[0]
+                first[(some[:, None] * 8 + np.arange(8))[np.unpackbits(at[some, None], axis=1, bitorder="little").astype(bool)]] = len(steps)
+                reach |= new
+            steps.append((n, k))
+            count, part = count - k, part * 2
+    at, take = reach.bit_length() - 1, {}
+    short = goal - at
+    while at > 0:
+        n, k = steps[first[at]]
+        take[n], at = take.get(n, 0) + k, at - n * k
+    return take, short
+
+
 def subset(lengths: dict[int, int], budget: int) -> dict[int, int]:
     """How many to take of each length so that the sum comes as near to the budget from below as the counts allow.
 
-    Takes each length's share first, then the largest lengths down to a rest of FIT, then solves the rest exactly as a
-    bounded knapsack over reachable sums (bits of an integer, counts split into powers of two).
+    Each length's share is taken first, but for a window of tokens, which is then filled exactly as a bounded knapsack. A
+    window that fills the budget, to less than the lengths' common divisor, is proof that nothing nearer exists; else the
+    window grows eightfold, up to the whole budget, where the fit is exact by itself.
     """
+    lengths = {n: c for n, c in lengths.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in lengths.items())
     if budget >= total:
         return dict(lengths)
-    budget = max(0, budget)
-    take = {n: c * max(0, budget - FIT // 2) // total for n, c in lengths.items()}
-    rest = budget - sum(n * c for n, c in take.items())
-    for n in sorted(lengths, reverse=True):
-        k = min(lengths[n] - take[n], max(0, rest - FIT // 2) // n)
-        take[n] += k
-        rest -= n * k
-    rest = max(rest, 0)
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for n in sorted(lengths):
-        free, part = min(lengths[n] - take[n], rest // n), 1
-        while free > 0:
-            k = min(part, free)
-            steps.append((n, k, reach))
-            reach |= (reach << (n * k)) & mask
-            free, part = free - k, part * 2
-    goal = reach.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> goal & 1:
+    unit = math.gcd(*lengths)
+    goal, total, window = max(0, budget) // unit, total // unit, WINDOW
+    scaled = {n // unit: c for n, c in lengths.items()}
+    while True:
+        take = {n: c * max(0, goal - window) // total for n, c in scaled.items()}
+        rest = goal - sum(n * c for n, c in take.items())
+        for n in sorted(scaled, reverse=True):
+            k = min(scaled[n] - take[n], max(0, rest - window) // n)
             take[n] += k
-            goal -= n * k
-    return take
+            rest -= n * k
+        more, short = _reached([(n, scaled[n] - take[n]) for n in sorted(scaled, reverse=True)], rest)
+        if short == 0 or rest == goal:
+            return {n * unit: c + more.get(n, 0) for n, c in take.items()}
+        window *= 8
 
 
 def mixed(sized: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents to use with their number of copies, and the report by source.
 
     ``sized`` has ``doc_id, source, n_tokens``, ``targets`` (a fixed list) ``source, target_share, max_repeats``. Without
-    ``total_tokens`` the mix is the largest for which no source must be used more than its ``max_repeats``. Each source
+    ``total_tokens`` the mix is the largest for which no source must be used more than its ``max_repeats``. With it, a source
+    whose share asks for more than its ``max_repeats`` passes gives just those, and the report shows what it is short of. Each source
     gets whole passes over its documents and a seeded part of one more, whose sum is fitted to the budget. Null sources,
     sources without target and documents without tokens are not drawn; a source without documents is reported with 0.
     Rows of one id count once.
+
+    The fit is one small task a source: it sees counts by length, never documents.
     """
     rows = sized.where("n_tokens > 0 and source is not null and doc_id is not null").dropDuplicates(["doc_id"])
     rows = cut(rows.withColumn("source", source_name(F.col("source"))).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").select("doc_id", "source", "n_tokens"))

@@ -30,7 +30,7 @@ def _assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     family = splits.family_of(splits.stem_of(F.col("name")))
     counts = windows.dropDuplicates(["window_id"]).groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n"))
     weights = groups.join(counts, "family", "left").groupBy("group_stem").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("weight"))
-    targets = [(r.split, r.share) for r in table(spark, sf, "split_targets").orderBy(F.desc("share"), "split").limit(1000).collect()]
+    targets = [(r.split, r.share) for r in table(spark, sf, "split_targets").orderBy(F.desc("share"), "split").collect()]  # a fixed list
     return groups, splits.assign(weights, targets)
 
 
@@ -91,10 +91,12 @@ def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return back.join(texts, "doc_id").select("doc_id", "n_tokens", (F.col("back") == F.col("text")).alias("same"))
 
 
-def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf: str, passes: float | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents")
     sizes = encoded(docs, ByteBpe(spark)).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
-    return mixing.mixed(docs.select("doc_id", "source").join(sizes, "doc_id"), table(spark, sf, "mix_targets"))
+    sized = cut(docs.select("doc_id", "source").join(sizes, "doc_id"))
+    wanted = None if passes is None else int(passes * (sized.dropDuplicates(["doc_id"]).agg(F.sum("n_tokens")).first()[0] or 0))
+    return mixing.mixed(sized, table(spark, sf, "mix_targets"), total_tokens=wanted)
 
 
 @query
@@ -109,6 +111,12 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+@query
+def p8_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of a mix of as many tokens as the corpus has, where small sources reach their cap."""
+    return _mix(spark, sf, 1.0)[1].withColumn("capped", F.col("most_copies") >= F.col("max_repeats"))
+
+
 @query
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Texts that are residue instead of drive notes."""

@@ -26,6 +26,7 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+SALTS = 16
 STEP, MIX, PRIME = 1021, (1103515245, 1664525), 4294967291
 
 
@@ -107,7 +108,10 @@ class ByteBpe:
 
         #: Columns to add to a frame before the expressions that name them; the optimizer writes them in, no row carries them.
         self.merges = constant(**three(self._pairs), bytes=pa.array([[vocabulary[bytes([b])] for b in range(256)]], ints))
-        self.whole = constant(**three(self._whole))
+        known = [""] * self.size
+        for token, i in vocabulary.items():
+            known[i] = token.decode("utf-8", "ignore")
+        self.whole = constant(**three(self._whole), words=pa.array([known], pa.list_(pa.string())))
         self.pieces = constant(hex=pa.array([hexes], pa.list_(pa.string())))
         self._pairs.arrays = self._whole.arrays = ()
 
@@ -117,8 +121,9 @@ class ByteBpe:
         return self._pairs.get(arrays, key, key * MIX[0] % PRIME, key * MIX[1] % PRIME)
 
     def id_of_whole(self, word: Column, whole: Column) -> Column:
-        """The id of a word that is one token, by its 64-bit hash; null for other words."""
-        return _let(whole, lambda t: _let(F.xxhash64(word), lambda h: self._whole.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))))
+        """The id of a word that is one token, by its 64-bit hash and then its text; null for other words."""
+        found = lambda t, h: _let(self._whole.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)), lambda i: F.when(t["words"][i] == word, i))
+        return _let(whole, lambda t: _let(F.xxhash64(word), lambda h: found(t, h)))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
@@ -164,7 +169,7 @@ class _Dictionary:
 
     def __init__(self, spark: SparkSession, words: DataFrame, bpe: ByteBpe, most: int, longest: int):
         top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.octet_length("word") <= longest).orderBy(F.desc("n"), "word").limit(most)
-        got = top.select("word").withColumn("_c", bpe.merges).select("word", bpe.ids_of_word(F.col("word"), F.col("_c")).alias("ids")).toArrow()
+        got = top.select("word").repartition(words.sparkSession.sparkContext.defaultParallelism, "word").withColumn("_c", bpe.merges).select("word", bpe.ids_of_word(F.col("word"), F.col("_c")).alias("ids")).toArrow()
         names, ids = got.column("word").to_pylist(), got.column("ids").to_pylist()
         hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in names]
         once = {h: i for i, h in enumerate(hashes) if h != 2**64 - 1}  # of two words with one hash the other goes the long way
@@ -209,9 +214,12 @@ def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col
     rows = cut(rows.select("_id", F.monotonically_increasing_id().alias("_row"), F.when(done, F.flatten("_p")).alias("ids"), F.when(~done, parts).alias("_parts")))
     whole = rows.where("ids is not null").select(F.col("_id").alias(id_col), "ids")
     rest = rows.where("ids is null").select("_id", "_row", F.posexplode("_parts").alias("pos", "p")).select("_id", "_row", "pos", "p.ids", "p.word")
-    open_words = rest.where("word is not null")
+    # words too long for the dictionary may be frequent, such as rulers: their joins are salted
+    salt = lambda of: F.when(F.octet_length("word") > longest, of).otherwise(F.lit(0))
+    open_words = rest.where("word is not null").withColumn("_salt", salt(F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")))
     folded = open_words.select("word").distinct().withColumn("_c", bpe.merges).select("word", bpe.ids_of_word(F.col("word"), F.col("_c")).alias("ids"))
-    both = rest.where("word is null").drop("word").unionByName(open_words.drop("ids").join(folded, "word").drop("word"))
+    folded = folded.withColumn("_salt", F.explode(F.sequence(F.lit(0), salt(F.lit(SALTS - 1)))))
+    both = rest.where("word is null").drop("word").unionByName(open_words.drop("ids").join(folded, ["word", "_salt"]).drop("word", "_salt"))
     together = both.groupBy("_row", "_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_parts"))
     return whole.unionByName(together.select(F.col("_id").alias(id_col), F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids")))
 
