@@ -175,3 +175,22 @@ def test_copies_of_many_rows(spark):
 def test_first_change_of_brute_force(spark):
     files = pd.DataFrame([(1, "f", "imu", T0, "accel_x\n1.5"), (2, "f", "imu", T0 + timedelta(days=1), "Accel X\n1")], columns=["file_id", "feed", "record_kind", "written_at", "payload"])
     assert brute.layout_changes(files, lambda x, k: resolve(x, k, frozenset())) == {(2, "accel_x", "renamed"), (2, "accel_x", "retyped")}
+
+
+def test_chunks_are_cut_by_content(spark):
+    """One added row moves only the cuts near it; each of the rolling hash's keys has a say in a cut."""
+    from tracklathe.operators.copies import chunked
+
+    keys = [f"k{i:05d}" for i in range(4000)]
+    ends = lambda ks: {k for r in chunked(spark.createDataFrame([(k,) for k in ks], "k string"), ["k"], 1).groupBy("chunk").agg({"k": "max"}).collect() for k in [r["max(k)"]]}
+    whole = ends(keys)
+    assert 4000 / 64 / 2 < len(whole) < 4000 / 64 * 2
+    moved = [0, 0, 0]
+    for at in range(100, 3900, 190):
+        other = ends(keys[:at] + [keys[at - 1] + "x"] + keys[at:]) ^ whole
+        near = {keys[at - 1] + "x", *keys[at:at + 3]}
+        assert other <= near
+        for i in range(3):
+            moved[i] += keys[at + i] in other
+    gone = [ends(keys[:at] + keys[at + 1:]) ^ whole for at in [keys.index(k) - 2 for k in sorted(whole)[1:9]]]
+    assert sum(bool(g) for g in gone) > 5  # a cut goes when a neighbour of its row does

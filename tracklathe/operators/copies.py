@@ -19,24 +19,34 @@ def current(listing: DataFrame, key: list[Column], key_names: list[str], latest:
     return listing.groupBy(*[k.alias(n) for k, n in zip(key, key_names)]).agg(F.max_by(row, by).alias("row"), F.count(F.lit(1)).alias("n_listed"))
 
 
-def _chunks(side: DataFrame, key: list[str], content: Column, buckets: int, width: int, mask: int) -> DataFrame:
-    """Adds ``chunk`` and ``print`` (the chunk's fingerprint) to key-sorted rows.
+def _rotated(h: Column, by: int) -> Column:
+    """A 64-bit hash turned left, so that no bit of it is lost."""
+    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
 
-    Inside a bucket of keys a chunk ends where the rolling hash over the last ``width`` keys is zero under ``mask``; the
-    cut depends on near-by keys only, so an added or removed row moves at most ``width`` cuts.
+
+def chunked(side: DataFrame, key: list[str], buckets: int, width: int = 4, mask: int = 63) -> DataFrame:
+    """Adds ``bucket`` and ``chunk`` to rows with one row a key.
+
+    Rows go by hash buckets of the key and are sorted by key inside one. A chunk ends where the rolling hash over the last
+    ``width`` keys, each turned by its place, has zeros under ``mask`` in its top bits. The cut thus depends on the keys near
+    by and on nothing else: an added or removed row moves cuts only in the ``width`` rows from it on.
     """
-    side = side.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).withColumn("h", F.xxhash64(F.lit(17), *key))
     w = Window.partitionBy("bucket").orderBy(*key)
-    roll = F.col("h")
+    side = side.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).withColumn("_h", F.xxhash64(F.lit(17), *key))
+    roll = F.col("_h")
     for i in range(1, width):
-        roll = roll.bitwiseXOR(F.shiftleft(F.coalesce(F.lag("h", i).over(w), F.lit(0)), i * 7 % 64))
-    side = side.withColumn("cut", (roll.bitwiseAND(F.lit(mask)) == 0).cast("int"))
-    side = side.withColumn("chunk", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    in_chunk = Window.partitionBy("bucket", "chunk")
-    # two sums of independent 64-bit hashes and the count: equal prints mean equal rows
-    one, two = F.xxhash64(content), F.xxhash64(content, F.lit(29))
-    parts = [F.sum(x.bitwiseAND(F.lit(0xFFFFFFFF))).over(in_chunk) for x in (one, F.shiftrightunsigned(one, 32), two, F.shiftrightunsigned(two, 32))]
-    return side.withColumn("print", F.struct(F.col("bucket"), F.count(F.lit(1)).over(in_chunk).alias("n"), *[p.alias(f"p{i}") for i, p in enumerate(parts)])).drop("h", "cut")
+        roll = roll.bitwiseXOR(_rotated(F.coalesce(F.lag("_h", i).over(w), F.lit(0)), i * 13 % 64))
+    side = side.withColumn("_ends", (F.shiftrightunsigned(roll, 40).bitwiseAND(F.lit(mask)) == 0).cast("int"))
+    return side.withColumn("chunk", F.coalesce(F.sum("_ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_h", "_ends")
+
+
+def _prints(rows: DataFrame) -> DataFrame:
+    """One fingerprint a chunk: the count and two sums of independent 64-bit hashes of the rows' contents, in halves.
+
+    Equal prints mean equal rows. Hashes and sums are the map side's; only one small row a chunk and task is shuffled.
+    """
+    halves = [h for c in ("_one", "_two") for h in (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(c), 32))]
+    return rows.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(f"p{i}") for i, h in enumerate(halves)])
 
 
 def copy_differences(
@@ -67,9 +77,11 @@ def copy_differences(
     left, right = cut(left), cut(right)  # each listing is read and reduced once, then counted, chunked and diffed
     rows = max(left.count(), right.count())
     buckets = 2 ** math.ceil(math.log2(max(1, rows / ROWS_A_BUCKET) * 8))
-    a, b = (_chunks(x, key, content, buckets, width, mask) for x in (left, right))
-    prints = [x.select("print").distinct() for x in (a, b)]
-    a, b = a.join(prints[1], "print", "left_anti"), b.join(prints[0], "print", "left_anti")
+    hashed = lambda x: x.withColumn("_one", F.xxhash64(content)).withColumn("_two", F.xxhash64(content, F.lit(29)))
+    a, b = (chunked(hashed(x), key, buckets, width, mask) for x in (left, right))
+    prints, equal = [_prints(x) for x in (a, b)], ["bucket", "n", "p0", "p1", "p2", "p3"]
+    unmatched = [p.join(q.select(*equal), equal, "left_anti").select("bucket", "chunk") for p, q in (prints, prints[::-1])]
+    a, b = (x.join(u, ["bucket", "chunk"], "left_semi") for x, u in zip((a, b), unmatched))
     a = a.select(*key, F.col("row").alias("a"))
     b = b.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("row").alias("b"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
