@@ -10,25 +10,48 @@ import numpy as np
 import pandas as pd
 
 
+def outliers(v, ok, threshold=8.0, shock=3.5):
+    """Which values are outliers of one whole series: the robust filter written plainly, value by value."""
+    v = np.array(v, float)
+    if not any(ok):
+        return np.zeros(len(v), bool)
+    q = np.quantile(v[ok], [0.05, 0.25, 0.5, 0.75, 0.95], method="inverted_cdf")
+    level, sd, phi = q[2], 3 * max((q[4] - q[0]) / 3.29, (q[3] - q[1]) / 1.349), 0.0
+
+    def cases(beyond):
+        out, last, gap = np.zeros(len(v), bool), None, 1
+        for i, x in enumerate(v - level):
+            carry = phi**gap if last is not None else 0.0
+            odd = sd > 0 and abs(x - carry * (last or 0.0)) > shock * sd * max(1 - carry * carry, 0) ** 0.5
+            out[i] = odd and abs(x) > beyond * sd
+            last, gap = (last, gap + 1) if odd or not ok[i] else (x, 1)
+        # impossible values are told apart anyway
+        return out | (~ok & (sd > 0) & (np.abs(v - level) > beyond * sd))
+
+    for beyond in (threshold / 2, threshold):
+        before = None
+        for _ in range(12):
+            out = cases(beyond)
+            keep = ok & ~out
+            if keep.sum() < 2:
+                return out
+            level, sd = v[keep].mean(), v[keep].std(ddof=1)
+            both = keep[1:] & keep[:-1]
+            a, b = (v - level)[1:][both], (v - level)[:-1][both]
+            phi = min(max(float(a @ b) / float(b @ b), 0.0), 0.99) if b @ b > 0 else 0.0
+            if before is not None and (out == before).all():
+                break
+            before = out
+    return cases(threshold)
+
+
 def spikes(series: dict[tuple, list[tuple[float, int, float]]], possible) -> set[tuple]:
-    """(table, row, field) of impossible, stuck and far values; series maps (table, source, field) to (at, row, value)."""
+    """(table, row, field) of impossible, stuck and outlying values; series maps (table, source, field) to (at, row, value)."""
     found = set()
     for (table, _, field), rows in series.items():
         rows = sorted(rows)
         v = np.array([r[2] for r in rows], float)
         ok = np.array([possible(field, x) for x in v], bool)
-        sound = v[ok]
-        if len(sound):
-            lo, hi = np.quantile(sound, [0.05, 0.95])
-            keep = sound[np.abs(sound - np.median(sound)) <= 12 * max((hi - lo) / 3.29, 1e-300)]
-            for _ in range(20):
-                again = sound[np.abs(sound - keep.mean()) <= 8 * keep.std(ddof=1)] if len(keep) > 1 and keep.std(ddof=1) > 0 else keep
-                if len(again) == len(keep):
-                    break
-                keep = again
-            far = (np.abs(v - keep.mean()) > 8 * keep.std(ddof=1)) & (keep.std(ddof=1) > 0) if len(keep) > 1 else np.zeros(len(v), bool)
-        else:
-            far = np.zeros(len(v), bool)
         stuck = np.zeros(len(v), bool)
         if field not in ("gps_lat", "gps_lon"):
             i = 0
@@ -39,7 +62,7 @@ def spikes(series: dict[tuple, list[tuple[float, int, float]]], possible) -> set
                 if j - i >= 5 and v[i] != 0:
                     stuck[i:j] = True
                 i = j
-        found |= {(table, rows[i][1], field) for i in np.nonzero(~ok | far | stuck)[0]}
+        found |= {(table, rows[i][1], field) for i in np.nonzero(~ok | outliers(v, ok) | stuck)[0]}
     return found
 
 

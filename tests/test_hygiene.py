@@ -130,6 +130,20 @@ def test_implausible_runs_are_found_whole(spark, phi, length):
     assert {r.row_id for r in got.collect()} == shifted
 
 
+def test_implausible_goes_by_the_autoregression(spark):
+    """A slow climb is no case, however far a trimmed spread would put it; a jump of the same height and the way it is left are told apart."""
+    rng, x, v = random.Random(3), 0.0, []
+    for i in range(6000):
+        x = 0.9 * x + rng.gauss(0, 1)
+        v.append(x + 40 * max(0.0, 1 - abs(i - 1500) / 450))
+    jump, run = {4000}, set(range(5000, 5012))
+    v = [y + 150 * (i in jump) + 140 * (i in run) for i, y in enumerate(v)]
+    df = spark.createDataFrame([("t", i, "a", "gps_lat", float(i), y, i // 512, 1.0, "x") for i, y in enumerate(v)], SERIES)
+    got = {r.row_id: r.reason for r in implausible(df, F.lit(True), []).collect()}
+    assert got == {4000: "spike"} | {i: "shift" for i in run}
+    assert implausible(df, F.lit(True), [], shock=1e9).count() == 0
+
+
 def test_implausible_without_rows_or_spread(spark):
     empty = spark.createDataFrame([], SERIES)
     assert implausible(empty, F.col("value") >= 0, []).count() == 0
