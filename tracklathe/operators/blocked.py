@@ -44,6 +44,22 @@ def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str) -> Dat
     return rows.join(before, F.col("_bucket").eqNullSafe(F.col("_b"))).withColumn(name, F.col("_before") + place).drop("_bucket", "_b", "_before")
 
 
+def indexed(df: DataFrame, keys: list[str], block: Column, order: list[str], name: str, least: Column | None = None) -> DataFrame:
+    """Adds ``name``: the place of each row among its key's, from 0, without a key's rows in one task; ``_least``: the least ``least`` of the key.
+
+    ``block`` must not decrease along ``order``; blocks exchange their counts alone.
+    """
+    rows = df.withColumn("_block", block)
+    counts = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"), F.min(F.lit(0) if least is None else least).alias("_m"))
+    along, whole = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys)
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.min("_m").over(whole).alias("_least"))
+    same = F.col("_block").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)) - 1
+    return rows.join(counts, same).withColumn(name, (F.col("_before") + place).cast("bigint")).drop("_block", "_b", "_before", *[f"_k{i}" for i in range(len(keys))])
+
+
 def tile(place: Column, rows: Column, tiles: int) -> Column:
     """The tile of a place among equal-count tiles; the first ones take the rows left over."""
     small, over = F.floor(rows / tiles), rows % tiles

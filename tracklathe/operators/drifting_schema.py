@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracklathe.functions.labels import plain, resolve
 from tracklathe.operators.blocked import previous
-from tracklathe.session import cut
+from tracklathe.session import cut, fixed_list
 
 SEPARATORS = ",;\t|"
 CELLS = "array<struct<label:string,field:string,kind:string,value:string>>"
@@ -120,8 +120,8 @@ def read_records(files: DataFrame, known: frozenset[tuple[str, str, str]]) -> Da
 
 def known_labels(channels: DataFrame) -> frozenset[tuple[str, str, str]]:
     """The fixed field list (some dozens of rows) as a lookup."""
-    rows = channels.select("record_kind", "field_name", "sample_label").distinct().limit(10_000).collect()
-    return frozenset((r.record_kind, plain(x), r.field_name) for r in rows for x in (r.field_name, r.sample_label) if x)
+    rows = channels.select("record_kind", "field_name", "sample_label").distinct()
+    return frozenset((r.record_kind, plain(x), r.field_name) for r in fixed_list(rows) for x in (r.field_name, r.sample_label) if x)
 
 
 def layouts(records: DataFrame) -> DataFrame:

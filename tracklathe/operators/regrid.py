@@ -115,8 +115,14 @@ def regular_grid(
     pairs, blocks = _between_shards(edges, key, "block")
     wide, _ = _between_shards(blocks.withColumn("top", F.lit(0)), key, "top")
     gaps = pairs.unionByName(wide).where((F.col("right") - F.col("left") > max_gap_ms) & (whole(F.col("right")) - whole(F.col("left")) > 1))
-    outside = gaps.select(
-        key, F.explode(F.sequence(whole(F.col("left")) + 1, whole(F.col("right")) - 1)).alias("period"), F.lit("gap").alias("status"),
+    # a gap is spelt out shard by shard, so that one stamp far off makes no array longer than a shard
+    first, last = whole(F.col("left")) + 1, whole(F.col("right")) - 1
+    wide = lambda x: F.floor(x / (shard_periods * SUPER))
+    spread = gaps.select(key, first.alias("lo"), last.alias("hi"), F.explode(F.sequence(wide(first), wide(last))).alias("w")).repartition(key, "w")
+    shards = F.sequence(F.greatest(F.floor(F.col("lo") / shard_periods), F.col("w") * SUPER), F.least(F.floor(F.col("hi") / shard_periods), F.col("w") * SUPER + SUPER - 1))
+    spread = spread.select(key, "lo", "hi", F.explode(shards).alias("s"))
+    outside = spread.select(
+        key, F.explode(F.sequence(F.greatest(F.col("lo"), F.col("s") * shard_periods), F.least(F.col("hi"), F.col("s") * shard_periods + shard_periods - 1))).alias("period"), F.lit("gap").alias("status"),
         *[F.lit(None).cast("double").alias(c) for c in values],
     )
     return inside.unionByName(outside)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklathe.operators.blocked import indexed
 from tracklathe.session import table
 
 #: Samples of warm-up and the window lengths of the sweep, in samples.
@@ -43,14 +44,13 @@ def micros(column: str) -> Column:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    """One row an event: its user as ``seq``, seconds since the user's first event, sample index, value, position."""
-    e = table(spark, sf, "events")
-    w = Window.partitionBy("user_id")
+    """One row an event: its user as ``seq``, seconds since the user's first event, sample index, value, position. Users are ranked by days."""
     us = micros("ts")
+    e = indexed(table(spark, sf, "events"), ["user_id"], F.to_date("ts"), ["ts", "event_id"], "sample_idx", us)
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         "event_id", F.col("user_id").alias("seq"), F.col("event_type").alias("kind"), F.col("value").alias("v"), k.alias("k"), us.alias("us"),
-        ((us - F.min(us).over(w)) / 1e6).alias("t_s"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("bigint").alias("sample_idx"),
+        ((us - F.col("_least")) / 1e6).alias("t_s"), "sample_idx",
         (52.4 + (k - 50) * 1e-4).alias("lat"), (-1.5 + (F.col("value") - 250) * 1e-5).alias("lon"),
     )
 

@@ -12,7 +12,7 @@ from tracklathe.plans.base import events, r6, registry
 from tracklathe.plans.ordered import by_seq
 from tracklathe.session import table
 from tracklathe.sources import documents
-from tracklathe.streaming.runner import Handler, drained, replay
+from tracklathe.streaming.runner import closed, Handler, drained, replay
 
 QUERIES, SQL, query = registry()
 
@@ -126,24 +126,25 @@ def merged_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bounded_track(apart_m: float = 0.5, most: int = 500) -> Handler:
-    """A track that takes a point only some way and time from the last one, and holds a bounded number."""
+    """A track that takes a point only some way and time from the last one; past its bound the oldest point goes."""
 
     def on(s: dict, e: dict) -> list[dict]:
         if s["at"] is not None:
             north, east = (e["lat"] - s["at"][0]) * 111_320.0, (e["lon"] - s["at"][1]) * 111_320.0 * math.cos(math.radians(e["lat"]))
             if math.hypot(north, east) < apart_m or e["ms"] - s["at"][2] < 100:
                 return []
-        s["at"], s["n"] = [e["lat"], e["lon"], e["ms"]], min(s["n"] + 1, most)
-        return [{"id": e["id"], "held": s["n"]}]
+        s["at"], s["ids"] = [e["lat"], e["lon"], e["ms"]], [*s["ids"], e["id"]]
+        gone = s["ids"].pop(0) if len(s["ids"]) > most else None
+        return [{"id": e["id"], "held": len(s["ids"]), "evicted": gone}]
 
-    return lambda: {"at": None, "n": 0}, on
+    return lambda: {"at": None, "ids": []}, on
 
 
 @query()
 def track_points(spark: SparkSession, sf: str) -> DataFrame:
     """The points that a shown track takes."""
     e = events(spark, sf).select("seq", F.col("event_id").alias("id"), "sample_idx", "lat", "lon", F.floor(F.col("t_s") * 1000).alias("ms"))
-    return replay(e, "seq", ["sample_idx"], bounded_track(), "seq bigint, id bigint, held bigint")
+    return replay(e, "seq", ["sample_idx"], bounded_track(), "seq bigint, id bigint, held bigint, evicted bigint")
 
 
 @query("""with h as (select n_name as title, 'a' as src from nation where n_name like '%1%' union all select c_name, 'b' from customer where c_name like '%zzz%'), f as (select count(*) filter (where src = 'b') as nb from h)
@@ -167,18 +168,22 @@ def geocode_parse(spark: SparkSession, sf: str) -> DataFrame:
     return documents.photon(s.select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("value")))
 
 
-@query()
+@query("select kind, time_bucket(interval 6 hour, ts) as start, count(*) as n, round(avg(v), 6) as mean_v from (select event_type as kind, ts, value as v from events) group by all")
 def window_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Tumbling event-time counts from a stream under a watermark, each window once it is closed."""
+    """Tumbling event-time counts from a stream under a watermark, each window once it is closed.
+
+    A table's files stand in any order, so nothing in it is late; a closing row far ahead then closes every window.
+    """
     at = f"{sf}/events.parquet"
     schema, path = spark.read.parquet(at).schema, spark._jvm.org.apache.hadoop.fs.Path(at)
     reader = spark.readStream.schema(schema)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         reader, at = reader.option("pathGlobFilter", path.getName()), path.getParent().toString()
-    e = reader.parquet(at).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
+    e, close = closed(reader.parquet(at).select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value"), "at")
     g = e.groupBy(F.window("at", "6 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_v"))
     out = g.select(F.col("event_type").alias("kind"), F.col("window.start").alias("start"), "n", r6("mean_v").alias("mean_v"))
-    return drained(spark, out, "kind string, start timestamp, n bigint, mean_v double", "windows")
+    found = drained(spark, out, "kind string, start timestamp, n bigint, mean_v double", "windows", close)
+    return found.where("kind is not null").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("select l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) as worth, count(distinct l_orderkey) as n_orders, round(try_cast(sum(l_tax) filter (where l_discount > 0.05) as double) / nullif(count(*) filter (where l_discount > 0.05), 0), 6) as mean_tax from lineitem group by l_returnflag")
@@ -188,13 +193,22 @@ def offered_means(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("worth"), F.count_distinct("l_orderkey").alias("n_orders"), r6(F.try_divide(F.sum(F.when(offered, F.col("l_tax"))), F.count_if(offered))).alias("mean_tax"))
 
 
-@query("""with r as (select seq, sample_idx, lat, lon, v from ev), s as (select seq, count(*) as n, list(struct_pack(t := sample_idx, x := round(lat, 4), y := round(lon, 4)) order by sample_idx)[1:3] as head from r group by seq)
-select seq, n, head[1].t as first_idx, head[2].x as second_lat, coalesce(head[9].x, 0.0) as ninth_lat from s""")
+@query("""with p as (select *, round((lat - first_value(lat) over w) * 111320.0, 4) as north, round((lon - first_value(lon) over w) * 111320.0 * cos(radians(52.4)), 4) as east from ev window w as (partition by seq order by sample_idx)),
+d as (select *, abs(v - 250) / 100 as est_n, k / 10.0 as est_e from p), x as (select seq, sample_idx, sample_idx // 256 as part, north, east, round(sqrt(pow(est_n - north / 1e3, 2) + pow(est_e - east / 1e3, 2)), 4) as drift from d)
+select seq, part, count(*) as n, min(sample_idx) as first_idx, round(sum(drift), 3) as drift_sum, max(drift) as drift_max, arg_max(north, sample_idx) as last_north, coalesce(max(north) filter (where sample_idx = part * 256 + 8), 0.0) as ninth_north from x group by 1, 2""")
 def replay_record(spark: SparkSession, sf: str) -> DataFrame:
-    """A nested record of each recording's first epochs, and epochs looked up in it, with a default where there is none."""
-    head = events(spark, sf).where("sample_idx < 3").groupBy("seq").agg(F.sort_array(F.collect_list(F.struct(F.col("sample_idx").alias("t"), F.round("lat", 4).alias("x"), F.round("lon", 4).alias("y")))).alias("head"))
-    n = events(spark, sf).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(head, "seq").select("seq", "n", F.try_element_at("head", F.lit(1))["t"].alias("first_idx"), F.try_element_at("head", F.lit(2))["x"].alias("second_lat"), F.coalesce(F.try_element_at("head", F.lit(9))["x"], F.lit(0.0)).alias("ninth_lat"))
+    """Nested records of each recording's epochs, a part for every 256, with their drift series; epochs are looked up by place, zero where there is none."""
+    first = events(spark, sf).groupBy(F.col("seq").alias("_s")).agg(F.min_by(F.struct("lat", "lon"), "sample_idx").alias("o"))
+    e = events(spark, sf).join(first, F.col("seq") == F.col("_s"))
+    north, east = F.round((F.col("lat") - F.col("o.lat")) * 111320.0, 4), F.round((F.col("lon") - F.col("o.lon")) * 111320.0 * math.cos(math.radians(52.4)), 4)
+    e = e.select("seq", "sample_idx", F.floor(F.col("sample_idx") / 256).alias("part"), north.alias("north"), east.alias("east"), (F.abs(F.col("v") - 250) / 100).alias("en"), (F.col("k") / 10.0).alias("ee"))
+    drift = F.round(F.sqrt(F.pow(F.col("en") - F.col("north") / 1e3, F.lit(2)) + F.pow(F.col("ee") - F.col("east") / 1e3, F.lit(2))), 4)
+    r = e.groupBy("seq", "part").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "north", "east", drift.alias("drift")))).alias("epochs"))
+    series = F.col("epochs.drift")
+    return r.select(
+        "seq", "part", F.size("epochs").cast("bigint").alias("n"), F.col("epochs")[0]["sample_idx"].alias("first_idx"), F.round(F.aggregate(series, F.lit(0.0), lambda s, x: s + x), 3).alias("drift_sum"), F.array_max(series).alias("drift_max"),
+        F.element_at("epochs", -1)["north"].alias("last_north"), F.coalesce(F.try_element_at("epochs", F.lit(9))["north"], F.lit(0.0)).alias("ninth_north"),
+    )
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as norm, label from embeddings")

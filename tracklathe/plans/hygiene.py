@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklathe.operators.regrid import regular_grid
-from tracklathe.session import table
+from tracklathe.session import fixed_list, table
 
 QUERIES, SQL = {}, {}
 
@@ -47,7 +47,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, sf: str, kind: str) -> list[tuple[str, str]]:
-    rows = table(spark, sf, "channels").where(F.col("record_kind") == kind).select("field_name", "usual_kind").limit(10_000).collect()
+    rows = fixed_list(table(spark, sf, "channels").where(F.col("record_kind") == kind).select("field_name", "usual_kind"))
     return [(r.field_name, r.usual_kind) for r in rows]
 
 
@@ -92,7 +92,7 @@ def _implausible(spark: SparkSession, sf: str) -> DataFrame:
     segments = table(spark, sf, "stationary_segments").dropDuplicates(["segment_id"]).join(devices, "sequence", "left")
     segments = segments.select(
         F.lit("stationary_segments").alias("table_name"), F.col("segment_id").alias("row_id"), F.coalesce("device", F.concat(F.lit("?"), "sequence")).alias("source"),
-        F.col("segment_id").cast("double").alias("at"), F.floor(F.col("segment_id") / 65536).alias("block"), "accel_var_mean", "gyro_norm_mean",
+        F.col("segment_id").cast("double").alias("at"), F.floor(F.col("segment_id") / 8192).alias("block"), "accel_var_mean", "gyro_norm_mean",
     )
     fixes = table(spark, sf, "gnss_fixes").dropDuplicates(["fix_id"]).select(
         F.lit("gnss_fixes").alias("table_name"), F.col("fix_id").alias("row_id"), F.col("sequence").alias("source"), F.col("time_since_start_ms").alias("at"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Where that is unset, a local folder if everything runs
+    in one process (tests); a cluster without it is refused, as its machines would see different folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="tracklathe-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -30,6 +34,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def fixed_list(df: DataFrame, most: int = 10_000) -> list:
+    """The rows of a table that is fixed and short by its nature; one that isn't is refused, never shortened."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a table that should be a short list")
+    return rows
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a table written to the shared folder, so a lost executor costs no earlier rounds.
 

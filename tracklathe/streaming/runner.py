@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracklathe.session import scratch
@@ -69,9 +70,25 @@ def stream(events: DataFrame, key: str, order: list[str], handler: Handler, sche
     return events.groupBy(key).applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(spark: SparkSession, out: DataFrame, schema: str, label: str) -> DataFrame:
-    """Runs a stream to the end of what its sources hold now, into a table in the shared folder."""
+def closed(events: DataFrame, clock: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream under a watermark behind which nothing is late, and a call that sends the row which lets every window close.
+
+    The row has nulls but for a time far ahead; it takes part in the result's last window, where its nulls tell it.
+    """
+    spark = events.sparkSession
+    place = scratch(spark, "closing")
+    row = spark.createDataFrame([(None,) * len(events.columns)], events.schema).withColumn(clock, F.to_timestamp(F.lit("3000-01-01")))
+    row.where("false").write.parquet(place)
+    both = events.unionByName(spark.readStream.schema(events.schema).parquet(place))
+    return both.withWatermark(clock, "36500 days"), lambda: row.write.mode("append").parquet(place)
+
+
+def drained(spark: SparkSession, out: DataFrame, schema: str, label: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """Runs a stream to the end of what its sources hold now, into a table in the shared folder; with ``close`` once more after it."""
     place = scratch(spark, label)
-    q = out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for after in (None,) if close is None else (None, close):
+        if after:
+            after()
+        q = out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(schema).parquet(f"{place}/out")
