@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracklathe.llm import mixing, nearest_time, splits
 from tracklathe.llm.residue import message_classes, residue
 from tracklathe.llm.tokens import ByteBpe, decoded, encoded
-from tracklathe.session import cut, table
+from tracklathe.session import cut, fixed_list, table
 
 QUERIES, SQL = {}, {}
 
@@ -30,7 +30,7 @@ def _assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     family = splits.family_of(splits.stem_of(F.col("name")))
     counts = windows.dropDuplicates(["window_id"]).groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n"))
     weights = groups.join(counts, "family", "left").groupBy("group_stem").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("weight"))
-    targets = [(r.split, r.share) for r in table(spark, sf, "split_targets").orderBy(F.desc("share"), "split").collect()]  # a fixed list
+    targets = sorted(((r.split, r.share) for r in fixed_list(table(spark, sf, "split_targets"))), key=lambda x: (-x[1], x[0]))
     return groups, splits.assign(weights, targets)
 
 

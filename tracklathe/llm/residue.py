@@ -46,19 +46,21 @@ KINDS = list(STEMS)
 # The syllables of the well-known mock Latin passage.
 SYLLABLES = "ad ali am aut bo cin ci com con co dol do ea eius eli er es ex iam in lam la lit lo mag mi mo na nis nos pis por qua quis rem re sec sed se sit sum ip ta tem te tru tur ul ut ven ve"
 SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: What stands around a sentence without being of it.
+TRIM = " .,:;!?…。।#*>-–—_|/\\\"'`“”„«»()[]{}=+~•·\t"
 #: Words by which a sentence speaks about placeholders or code.
 TALK = r"formatter|parser|help text|argument name|exporter|report generator|copy the line"
 #: What a sentence that quotes or reports has and a site's message has not; it only matters for sentences that don't recur.
 REPORT = r"[\"“”„«»`;]|\b(?:was|were|had|said|used|cost|kept|this week|i|our (?!side)|lab|war|haben|était|venait|venía|fue)\b|था|थी|でした"
 #: A token said over and over, as in keyboard filler.
-STUTTER = r"(?<![\p{L}\p{N}])(?:(\p{L}+)(?: \1\p{L}?){2,}+|(\p{L}+) \2(?= (\p{L}+|0) \3(?![\p{L}\p{N}])))(?: (\p{L}+|0)(?: \4)++)*+(?![\p{L}\p{N}])"
+STUTTER = r"(?<![\p{L}\p{N}])(?:(\p{L}++)(?: \1\p{L}?){2,}+|(\p{L}++) \2(?= (\p{L}++|0) \3(?![\p{L}\p{N}])))(?: (\p{L}++|0)(?: \4)++)*+(?![\p{L}\p{N}])"
 
 
 def masked(text: Column) -> Column:
     """Lower case, tags as line ends, addresses, dates and words with a digit as 0, single blanks; lines stay."""
     t = F.regexp_replace(text, r"<[^<>\n]++>", "\n")
     t = F.lower(F.regexp_replace(t, r"[\u0085\u2028\u2029\x0b\x0c]|\r\n?", "\n"))
-    t = F.regexp_replace(t, rf"[{SPACE}&&[^\n]]++", " ")
+    t = F.regexp_replace(t, r"[ \t\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff]++", " ")
     t = F.regexp_replace(t, r"https?://\S++|(?<![\w.+-])[\w.+-]++@[\w-]++\.[\w.]++", "0")
     return F.regexp_replace(t, r"(?<![\p{L}\p{N}])(?:unit-)?\p{L}*+\p{Nd}[\p{L}\p{N}]*+(?:[-.,:]\p{L}*+\p{Nd}[\p{L}\p{N}]*+)*+", "0")
 
@@ -70,8 +72,8 @@ def sentences(mask: Column) -> Column:
     """
     t = F.regexp_replace(mask, r"(?m)(^|[.!?:。।] ?)lorem,? ipsum[^\n]*+", "$1\n⁂\n")
     t = F.regexp_replace(t, STUTTER, "\n⁂\n")
-    parts = F.split(t, r"\n|(?<=[.!?…]) |(?<=[。।])")
-    parts = F.transform(parts, lambda p: F.regexp_replace(p, r"^[^\p{L}\p{M}\p{N}⁂]++|[^\p{L}\p{M}\p{N}⁂]++$", ""))
+    parts = F.split(F.regexp_replace(t, r"[.!?…] |[。।]", "$0\n"), "\n")
+    parts = F.transform(parts, lambda p: F.btrim(p, F.lit(TRIM)))
     word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(SYLLABLES.split())})+(?![\p{{L}}\p{{N}}])"
     mock = lambda p: (F.size(F.split(p, " ")) > 1) & (F.regexp_count(p, F.lit(word)) >= 0.6 * F.size(F.split(p, " ")))
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.when(mock(p), "⁂").otherwise(p)))
