@@ -114,7 +114,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p8_capped(spark: SparkSession, sf: str) -> DataFrame:
     """The shares of a mix of as many tokens as the corpus has, where small sources reach their cap."""
-    return _mix(spark, sf, 1.0)[1].withColumn("capped", F.col("most_copies") >= F.col("max_repeats"))
+    return _mix(spark, sf, 1.0)[1].withColumn("short_tokens", F.round(F.col("target_share") * F.col("mix_tokens")).cast("bigint") - F.col("tokens"))
 
 
 @query

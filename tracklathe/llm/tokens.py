@@ -108,10 +108,7 @@ class ByteBpe:
 
         #: Columns to add to a frame before the expressions that name them; the optimizer writes them in, no row carries them.
         self.merges = constant(**three(self._pairs), bytes=pa.array([[vocabulary[bytes([b])] for b in range(256)]], ints))
-        known = [""] * self.size
-        for token, i in vocabulary.items():
-            known[i] = token.decode("utf-8", "ignore")
-        self.whole = constant(**three(self._whole), words=pa.array([known], pa.list_(pa.string())))
+        self.whole = constant(**three(self._whole))
         self.pieces = constant(hex=pa.array([hexes], pa.list_(pa.string())))
         self._pairs.arrays = self._whole.arrays = ()
 
@@ -121,9 +118,8 @@ class ByteBpe:
         return self._pairs.get(arrays, key, key * MIX[0] % PRIME, key * MIX[1] % PRIME)
 
     def id_of_whole(self, word: Column, whole: Column) -> Column:
-        """The id of a word that is one token, by its 64-bit hash and then its text; null for other words."""
-        found = lambda t, h: _let(self._whole.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)), lambda i: F.when(t["words"][i] == word, i))
-        return _let(whole, lambda t: _let(F.xxhash64(word), lambda h: found(t, h)))
+        """The id of a word that is one token, by its 64-bit hash alone; null for other words."""
+        return _let(whole, lambda t: _let(F.xxhash64(word), lambda h: self._whole.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
@@ -162,15 +158,22 @@ class ByteBpe:
 
 
 class _Dictionary:
-    """The corpus' most frequent words of several tokens, with their ids, as a constant of the plan.
+    """The vocabulary's own words and the corpus' most frequent words of several tokens, with their ids, as a constant of the plan.
 
-    It has at most ``most`` words of at most ``longest`` bytes, whatever the corpus: some megabytes by default.
+    Of the latter it has at most ``most`` words of at most ``longest`` bytes, whatever the corpus: some megabytes by default.
+    A word is found by its hash and then compared as text.
     """
 
     def __init__(self, spark: SparkSession, words: DataFrame, bpe: ByteBpe, most: int, longest: int):
         top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.octet_length("word") <= longest).orderBy(F.desc("n"), "word").limit(most)
         got = top.select("word").repartition(words.sparkSession.sparkContext.defaultParallelism, "word").withColumn("_c", bpe.merges).select("word", bpe.ids_of_word(F.col("word"), F.col("_c")).alias("ids")).toArrow()
         names, ids = got.column("word").to_pylist(), got.column("ids").to_pylist()
+        for token, i in ranks(bpe.path).items():
+            try:
+                names.append(token.decode())
+                ids.append([i])
+            except UnicodeDecodeError:
+                pass  # part of a character is no word
         hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in names]
         once = {h: i for i, h in enumerate(hashes) if h != 2**64 - 1}  # of two words with one hash the other goes the long way
         self._table = _Table([(h - (h >> 63 << 64), h & 0xFFFFFFFF, h >> 32, i) for h, i in once.items()])
@@ -183,12 +186,16 @@ class _Dictionary:
         rows = spark.createDataFrame(pa.table({k: pa.array(v, t) for k, (v, t) in arrays.items()}))
         self.constant = rows.select(F.struct(*rows.columns)).scalar()
 
-    def ids(self, word: Column, constant: Column) -> Column:
+    def ids_in(self, word: Column, constant: Column) -> Column:
         """The word's ids; null for a word that isn't in here."""
-        def found(t: Column, h: Column) -> Column:
-            return _let(self._table.get(t, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)), lambda i: F.when(t["words"][i] == word, F.slice(t["ids"], t["starts"][i] + 1, t["starts"][i + 1] - t["starts"][i])))
+        def at(h: Column) -> Column:
+            return self._table.get(constant, h, h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))
+
+        def read(i: Column) -> Column:
+            start = constant["starts"][i]
+            return F.when(constant["words"][i] == word, F.slice(constant["ids"], start + 1, constant["starts"][i + 1] - start))
 
-        return _let(constant, lambda t: _let(F.xxhash64(word), lambda h: found(t, h)))
+        return _let(_let(F.xxhash64(word), at), read)
 
 
 def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text", dictionary: int = 1 << 17, longest: int = 64) -> DataFrame:
@@ -198,7 +205,7 @@ def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col
     columns are ignored.
 
     A first pass counts the words that aren't one token, combined before the shuffle; each distinct one is folded once.
-    The ``dictionary`` most frequent of them (up to ``longest`` bytes) are then looked up in the row, as are single
+    The ``dictionary`` most frequent of them (up to ``longest`` bytes) are then looked up in the row together with single
     tokens, so nearly all texts are done without a shuffle. Texts with other words are joined with those words' folds and
     put together by place: the same result by the longer way, for a corpus of any vocabulary.
     """
@@ -207,8 +214,8 @@ def encoded(documents: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col
     hard = rows.select(F.explode(F.filter("_w", lambda w: bpe.id_of_whole(w, F.col("_c")).isNull())).alias("word"))
     frequent = _Dictionary(spark, hard, bpe, dictionary, longest)
     rows = rows.withColumn("_d", frequent.constant)
-    ids_of = lambda w: _let(bpe.id_of_whole(w, F.col("_c")), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(frequent.ids(w, F.col("_d"))))
-    rows = settle(rows.select("_id", "_w", F.transform("_w", ids_of).alias("_p")))
+    found = F.transform("_w", lambda w: frequent.ids_in(w, F.col("_d")))
+    rows = settle(rows.select("_id", "_w", found.alias("_p")))
     done = ~F.exists("_p", lambda p: p.isNull())
     parts = F.zip_with("_w", "_p", lambda w, p: F.struct(p.alias("ids"), F.when(p.isNull(), w).alias("word")))
     rows = cut(rows.select("_id", F.monotonically_increasing_id().alias("_row"), F.when(done, F.flatten("_p")).alias("ids"), F.when(~done, parts).alias("_parts")))
