@@ -257,6 +257,22 @@ def test_recurring_messages_and_long_texts(spark):
     assert residue(few).count() == 0
 
 
+def test_messages_joined_on_a_line(spark):
+    """Messages and frames that follow each other without a full stop are known one by one; prose beside them still counts."""
+    note, frames = "The upstream server took too long to answer", ["Home | Drives | Maps | Sign in", "Back to the first page of the site", "Please look again at the address for typing mistakes"]
+    rows = [(i, f"Sheet {chr(97 + i % 26)}\n{note}\n{frames[i % 3]}\n{frames[(i + 1) % 3]}", f"s{i % 7}") for i in range(26)]
+    rows += [(100, f"{note}. Request id 9f2 {frames[0]} {frames[1]} {frames[2]}", "s1"), (101, f"Notes on Ab12 ({note}) {frames[1]} {frames[2]} {frames[0]}", "s2"), (102, f"{frames[2]} {note} {frames[1]}\n{frames[0]} {frames[2]}", None)]
+    rows += [(200, f"We wrote down the mount, the road, the clock and the weather before {note} {frames[1]}", "s1"), (201, f"{frames[0]} The road was dry and the crew went home before the rain came over the hill", "s2")]
+    got = {r.doc_id: r.kind for r in residue(spark.createDataFrame(rows + rows[-5:], "doc_id long, text string, source string")).collect()}
+    assert got == {i: "error" for i in [*range(26), 100, 101, 102]}
+
+
+@pytest.mark.parametrize("text", ["abc abc abc 123 123 xxx xxx xxxx abc abc abc 123 123 xxx xxx xxxx", "xxx xxx xxxx asdf asdf jkl jkl xxx xxx xxxx test test test asdf asdf jkl jkl", "asdf asdf jkl jkl asdf asdf jkl jkl xxx xxx xxxx"])
+def test_mixed_keyboard_filler(spark, text):
+    rows = [(1, text, "a"), (2, f"Bench check 3\n\n{text} Text goes here.", "a"), (3, "The road had had had a hadden sign on the long way up to the gate.", "a")]
+    assert {r.doc_id: r.kind for r in residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()} == {1: "filler", 2: "filler"}
+
+
 def test_long_texts_are_counted(spark):
     long = "a template that was copied " * 400
     df = spark.createDataFrame([(long, "a"), (long.upper(), "b"), (long + "x", "b"), ("Short 1", "a"), ("short 2", "a"), (" ", "a"), (None, "a")], "text string, source string")

@@ -52,8 +52,8 @@ TRIM = " .,:;!?…。।#*>-–—_|/\\\"'`“”„«»()[]{}=+~•·\t"
 TALK = r"formatter|parser|help text|argument name|exporter|report generator|copy the line"
 #: What a sentence that quotes or reports has and a site's message has not; it only matters for sentences that don't recur.
 REPORT = r"[\"“”„«»`;]|\b(?:was|were|had|said|used|cost|kept|this week|i|our (?!side)|lab|war|haben|était|venait|venía|fue)\b|था|थी|でした"
-#: A token said over and over, as in keyboard filler.
-STUTTER = r"(?<![\p{L}\p{N}])(?:(\p{L}++)(?: \1\p{L}?){2,}+|(\p{L}++) \2(?= (\p{L}++|0) \3(?![\p{L}\p{N}])))(?: (\p{L}++|0)(?: \4)++)*+(?![\p{L}\p{N}])"
+#: A token said over and over, as in keyboard filler, a repeat perhaps with one more letter; every repeat ends at a word's end.
+STUTTER = r"(?<![\p{L}\p{N}])(?:(\p{L}++)(?: \1\p{L}?(?![\p{L}\p{N}])){2,}+|(\p{L}++) \2(?= (\p{L}++|0) \3(?![\p{L}\p{N}])))(?: (\p{L}++|0)(?: \4\p{L}?(?![\p{L}\p{N}]))++)*+(?![\p{L}\p{N}])"
 
 
 def masked(text: Column) -> Column:
@@ -110,7 +110,8 @@ def _sentences(documents: DataFrame, id_col: str, text_col: str, source_col: str
 
     A sentence has its hash, words, kind by its stems (0 none), ``near`` (whether the other sentences without a stem have at
     most ``company`` words) and ``terse`` (short and not reporting). ``tails`` are the hashes of what is left of a sentence with a
-    stem when up to ``drop`` leading words are taken off, for messages that stand behind a title on its line.
+    stem when up to ``drop`` leading words are taken off, for messages that stand behind a title on its line. ``s`` is the
+    sentence itself in texts that have a stem, else null.
     """
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lower(F.trim(F.coalesce(F.col(source_col), F.lit("")))).alias("_source"))
     rows = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull()).where(F.col("_text").rlike(f"[^{SPACE}]"))
@@ -129,10 +130,10 @@ def _sentences(documents: DataFrame, id_col: str, text_col: str, source_col: str
         terse = (x["k"] > 0) & (x["w"] <= 14) & ((x["s"] == "⁂") | ~x["s"].rlike(REPORT))
         return F.struct(
             x["h"], x["w"], x["k"], (F.col("_plain") - F.when(x["k"] == 0, x["w"]).otherwise(0) <= company).alias("near"), terse.alias("terse"),
-            F.when((x["k"] > 0) & (x["w"] > 1), tails(x)).otherwise(F.array().cast("array<bigint>")).alias("tails"),
+            F.when((x["k"] > 0) & (x["w"] > 1), tails(x)).otherwise(F.array().cast("array<bigint>")).alias("tails"), F.when(F.col("_stem"), x["s"]).alias("s"),
         )
 
-    return rows.withColumn("_plain", plain).select("_id", "_source", "_holder", "_doc", F.transform("_s", number).alias("_s"))
+    return rows.withColumn("_plain", plain).withColumn("_stem", ~F.col("_holder") & F.exists("_s", lambda x: x["k"] > 0)).select("_id", "_source", "_holder", "_doc", F.transform("_s", number).alias("_s"))
 
 
 def _messages(rows: DataFrame, wide_docs: int, wide_sources: int, stray: float) -> DataFrame:
@@ -153,6 +154,28 @@ def _messages(rows: DataFrame, wide_docs: int, wide_sources: int, stray: float)
     return groups.select("h", "k", wide.alias("wide"), "terse", "far").where(F.col("wide") | ((F.col("k") > 0) & F.col("terse") & (F.col("far") == 0))).select("h", "k", "wide")
 
 
+def _covered(asked: DataFrame, messages: DataFrame) -> DataFrame:
+    """Sentences that hold wide messages or frames of two words or more, by hash: (``h``, ``rest``, ``ck``).
+
+    For pages in which messages and frames follow each other on one line without a full stop. Each distinct sentence of the
+    asked texts is gone through from its start, the longest first; ``rest`` is the number of its words that none covers,
+    ``ck`` the kind (0: frames only). Places where one may start are found by a join on its first two words.
+    """
+    words = F.split("s", " ")
+    pair = lambda a, b: F.xxhash64(F.btrim(F.concat_ws(" ", a, b), F.lit(TRIM)))
+    lines = asked.groupBy("s.h").agg(F.min("s.s").alias("s"), F.max("s.w").alias("w"))
+    lines = cut(lines.where(F.size(words) > 1).join(messages.where("wide").select("h", "k"), "h", "left"))
+    units = lines.where("k is not null").select(pair(words[0], words[1]).alias("first"), F.col("h").alias("unit"), F.size(words).alias("n"), F.col("w").alias("uw"), "k")
+    lines = lines.where("k is null and size(split(s, ' ')) > 2").select("h", "w", words.alias("words"))
+    starts = lines.select("h", F.posexplode(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), pair)).alias("at", "first"))
+    spans = starts.join(units, "first").groupBy("h").agg(F.collect_list(F.struct("at", (-F.col("n")).alias("longest"), "n", "unit", "uw", "k")).alias("spans"))
+    held = F.filter("spans", lambda x: F.xxhash64(F.btrim(F.array_join(F.slice("words", x["at"] + 1, x["n"]), " "), F.lit(TRIM))) == x["unit"])
+    kind = lambda a, b: F.when(a == 0, b).when(b == 0, a).otherwise(F.least(a, b))
+    step = lambda y, x: F.when(x["at"] < y["end"], y).otherwise(F.struct((x["at"] + x["n"]).alias("end"), (y["off"] + x["uw"]).alias("off"), kind(y["k"], x["k"]).alias("k")))
+    taken = F.aggregate(F.array_sort(held), F.struct(F.lit(0).alias("end"), F.lit(0).alias("off"), F.lit(0).alias("k")), step)
+    return lines.join(spans, "h").select("h", "w", taken.alias("t")).where("t.off > 0").select("h", F.greatest(F.col("w") - F.col("t.off"), F.lit(0)).alias("rest"), F.col("t.k").alias("ck"))
+
+
 def residue(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     wide_docs: int = 6, wide_sources: int = 3, company: int = 24, title: int = 8, stray: float = 0.05,
@@ -162,7 +185,8 @@ def residue(
     Texts of any length and language are masked and cut into sentences, whose exact hashes are grouped across all texts and
     sources. Sentences that recur widely without ever standing in ordinary prose of more than ``company`` words are a site's
     messages and page frames; the kind of a message comes from generic stems. Sentences that don't recur widely count only
-    if they have a stem, are terse, report nothing and never stand in prose. A text is residue if it has a message and, all
+    if they have a stem, are terse, report nothing and never stand in prose. Wide messages and frames are also known inside
+    a sentence, where a page's lines were joined. A text is residue if it has a message and, all
     messages and frames taken off, at most ``title`` words are left. A placeholder counts anywhere in prose outside code,
     quotations and sentences about placeholders. Null, empty and blank texts are never residue; one row an id, whatever
     repeated rows there are; null ids have no row; a null source is one source; other columns are ignored.
@@ -170,18 +194,20 @@ def residue(
     The texts are gone through once; from then on only numbers travel. Only texts with a stem are looked up again.
     """
     rows = cut(_sentences(documents, id_col, text_col, source_col, company, title))
-    messages = _messages(rows, wide_docs, wide_sources, stray)
-    asked = rows.where(~F.col("_holder") & F.exists("_s", lambda s: s["k"] > 0)).withColumn("_row", F.monotonically_increasing_id()).select("_id", "_row", F.posexplode("_s").alias("at", "s"))
+    messages = cut(_messages(rows, wide_docs, wide_sources, stray))
+    asked = rows.where(~F.col("_holder") & F.exists("_s", lambda s: s["k"] > 0)).select("_id", F.col("_doc").alias("_row"), F.posexplode("_s").alias("at", "s"))
     whole = F.array(F.struct(F.col("s.h").alias("h"), F.lit(0).alias("off")))
     tails = F.transform("s.tails", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("off")))
     looked = asked.select("_id", "_row", "at", F.col("s.w").alias("w"), F.explode(F.concat(whole, tails)).alias("c")).select("_id", "_row", "at", "w", "c.*")
     looked = looked.join(messages, "h", "left")
     hit = F.when(F.col("k").isNotNull() & (F.col("wide") | (F.col("off") == 0)) & ((F.col("off") == 0) | (F.col("k") > 0)), F.struct((-F.col("off")).alias("off"), F.col("k")))
-    best = looked.groupBy("_id", "_row", "at").agg(F.max(hit).alias("hit"), F.max("w").alias("w"))
-    left = F.coalesce(-F.col("hit.off"), F.col("w"))
-    judged = best.groupBy("_id", "_row").agg(F.sum(left).alias("left"), F.max("hit.k").alias("most"), F.min(F.when(F.col("hit.k") > 0, F.col("hit.k"))).alias("k"))
+    best = looked.groupBy("_id", "_row", "at").agg(F.max(hit).alias("hit"), F.max("w").alias("w"), F.max(F.when(F.col("off") == 0, F.col("h"))).alias("h"))
+    best = best.join(_covered(asked, messages), "h", "left")
+    left = F.least(F.coalesce(-F.col("hit.off"), F.col("w")), F.col("rest"))
+    kinds = F.filter(F.array("hit.k", "ck"), lambda k: k > 0)
+    judged = best.groupBy("_id", "_row").agg(F.sum(left).alias("left"), F.min(F.array_min(kinds)).alias("k"))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("k"))
-    found = judged.where((F.col("most") > 0) & (F.col("left") <= title)).select("_id", kind.alias("kind"))
+    found = judged.where(F.col("k").isNotNull() & (F.col("left") <= title)).select("_id", kind.alias("kind"))
     holders = rows.where("_holder").select("_id", F.lit("placeholder").alias("kind"))
     return holders.unionByName(found).groupBy(F.col("_id").alias(id_col)).agg(F.max("kind").alias("kind"))
 
