@@ -195,6 +195,21 @@ def test_subset_of_few_long_lengths_is_exact():
         assert sum(n * k for n, k in mixing.subset(lengths, budget).items()) == max(r for r in reach if r <= budget)
 
 
+@pytest.mark.parametrize("budget", [2_000, 20_000, 200_000])
+def test_subset_keeps_the_proportions(budget):
+    """Small budgets are no more filled with the longest documents than large ones, also beside texts longer than the budget."""
+    rng = random.Random(5)
+    lengths = {}
+    for _ in range(4000):
+        n = max(5, int(rng.lognormvariate(4.6, 0.8)))
+        lengths[n] = lengths.get(n, 0) + 1
+    lengths |= {30_000: 2, 60_000: 1}
+    take = mixing.subset(lengths, budget)
+    assert sum(n * k for n, k in take.items()) == budget and all(0 <= k <= lengths[n] for n, k in take.items())
+    usual = sum(n * c for n, c in lengths.items() if n <= budget) / sum(c for n, c in lengths.items() if n <= budget)
+    assert 0.75 * usual < budget / sum(take.values()) < 1.25 * usual
+
+
 def test_mix_with_a_binding_cap(spark):
     rows = [(i, "big", 10 + i % 90) for i in range(2000)] + [(3000 + i, "small", 7) for i in range(50)]
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats long")

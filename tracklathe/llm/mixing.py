@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracklathe.session import cut
 
-#: Size of the first window that the exact fit works on, in units of the lengths' greatest common divisor.
+#: Size of the first window that the exact fit works on, in units of the lengths' greatest common divisor; of small budgets a sixteenth.
 WINDOW = 1 << 12
 
 
@@ -47,31 +47,46 @@ def _reached(free: list[tuple[int, int]], goal: int) -> tuple[dict[int, int], in
     return take, short
 
 
+def _spread(free: dict[int, int], goal: int) -> dict[int, int]:
+    """How many to take of each length, in the lengths' own proportions, for a sum up to the goal that no length left fits in.
+
+    What rounding leaves of one length's share goes to the next longer one, so that lengths of which there are few come into
+    their own together; what then is left is shared out again among those that still fit.
+    """
+    take = dict.fromkeys(free, 0)
+    while some := {n: c - take[n] for n, c in sorted(free.items()) if n <= goal and c > take[n]}:
+        total, due, taken = sum(n * c for n, c in some.items()), 0, 0
+        for n, c in some.items():
+            due += n * c
+            k = min(c, (due * min(goal, total) // total - taken) // n)
+            take[n], taken = take[n] + k, taken + n * k
+        goal -= taken
+    return take
+
+
 def subset(lengths: dict[int, int], budget: int) -> dict[int, int]:
     """How many to take of each length so that the sum comes as near to the budget from below as the counts allow.
 
-    Each length's share is taken first, but for a window of tokens, which is then filled exactly as a bounded knapsack. A
-    window that fills the budget, to less than the lengths' common divisor, is proof that nothing nearer exists; else the
-    window grows eightfold, up to the whole budget, where the fit is exact by itself.
+    Each length's share is taken first, but for a window of tokens, which is then filled exactly as a bounded knapsack. The
+    knapsack takes the longest first, so its window is a small part of the budget. A window that fills the budget, to less
+    than the lengths' common divisor, is proof that nothing nearer exists; else the window doubles, up to the whole
+    budget, where the fit is exact by itself.
     """
     lengths = {n: c for n, c in lengths.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in lengths.items())
     if budget >= total:
         return dict(lengths)
     unit = math.gcd(*lengths)
-    goal, total, window = max(0, budget) // unit, total // unit, WINDOW
+    goal = max(0, budget) // unit
+    window = max(1, min(WINDOW, goal // 16))
     scaled = {n // unit: c for n, c in lengths.items()}
     while True:
-        take = {n: c * max(0, goal - window) // total for n, c in scaled.items()}
+        take = _spread(scaled, goal - window)
         rest = goal - sum(n * c for n, c in take.items())
-        for n in sorted(scaled, reverse=True):
-            k = min(scaled[n] - take[n], max(0, rest - window) // n)
-            take[n] += k
-            rest -= n * k
         more, short = _reached([(n, scaled[n] - take[n]) for n in sorted(scaled, reverse=True)], rest)
         if short == 0 or rest == goal:
             return {n * unit: c + more.get(n, 0) for n, c in take.items()}
-        window *= 8
+        window *= 2
 
 
 def mixed(sized: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
